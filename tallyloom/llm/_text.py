@@ -86,7 +86,10 @@ def as_bytes(column: pa.Array) -> Bytes:
 
 
 def as_words(column: pa.Array) -> Words:
-    b = as_bytes(column)
+    return words_of(as_bytes(column))
+
+
+def words_of(b: Bytes) -> Words:
     solid = ~_IS_SPACE[b.buf[: b.off[-1]]]
     opens, closes = solid.copy(), np.empty(solid.size + 1, bool)
     cuts = b.off[(b.off > 0) & (b.off < solid.size)]
@@ -129,7 +132,7 @@ def gram_hash(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     if h.size < n:
         return np.zeros(0, np.uint64)
     m = h.size - n + 1
-    by = (np.uint64(seed) * _C + _A) | np.uint64(1)
+    by = np.uint64((seed * int(_C) + int(_A)) & (1 << 64) - 1 | 1)
     out = h[:m].copy()
     for j in range(1, n):
         out *= by
