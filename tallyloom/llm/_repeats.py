@@ -31,8 +31,9 @@ from ._text import LAST_ID, Bytes, as_bytes, as_words, gram_hash, ids, mix, slic
 
 #: Anchors with more distinct contexts than this deal their windows out by window hash.
 MANY_CONTEXTS = 1024
-CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 64 << 20
+#: Text behind a chunk, and the range of text behind a bucket.
+CHUNK_BYTES = 1 << 20
+LEAST_BUCKET_BYTES, MOST_BUCKET_BYTES = 2 << 20, 16 << 20
 PACK_BYTES = 48 << 20
 _ROW = "key long, chunk long, part long, payload binary"
 _SCHEMA = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("part", pa.int64()), ("payload", pa.binary())])
@@ -100,10 +101,10 @@ def _column(b: Bytes) -> pa.Array:
 
 
 def sizing(docs: DataFrame) -> tuple[int, int]:
-    """Numbers of chunks and buckets: some for each shuffle partition, more where the text calls for it."""
+    """Numbers of chunks and buckets. They follow the text, so that a chunk sends each bucket many entries in one row."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(6 * parts, math.ceil(size / CHUNK_BYTES)), max(2 * parts, math.ceil(size / BUCKET_BYTES))
+    return max(1, math.ceil(size / CHUNK_BYTES)), max(1, min(2 * parts, math.ceil(size / LEAST_BUCKET_BYTES)), math.ceil(size / MOST_BUCKET_BYTES))
 
 
 def pack(docs: DataFrame, chunks: int) -> DataFrame:
