@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LAST_ID, Bytes, as_bytes, as_words, gram_hash, ids, mix, slice_hash, sliding_argmin, texts, within, word_hash
+from ._text import LAST_ID, Bytes, as_bytes, gram_hash, ids, mix, slice_hash, sliding_argmin, texts, within, word_hash, words_of
 
 #: Anchors with more distinct contexts than this deal their windows out by window hash.
 MANY_CONTEXTS = 1024
@@ -35,6 +35,7 @@ MANY_CONTEXTS = 1024
 CHUNK_BYTES = 1 << 20
 LEAST_BUCKET_BYTES, MOST_BUCKET_BYTES = 2 << 20, 16 << 20
 PACK_BYTES = 48 << 20
+_ODD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 _ROW = "key long, chunk long, part long, payload binary"
 _SCHEMA = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("part", pa.int64()), ("payload", pa.binary())])
 
@@ -64,7 +65,10 @@ class Items:
         lanes, m = self.b.lanes(), self.doc.size
         out = np.zeros(m, np.uint64)
         for at in [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]:
-            out = mix(out ^ lanes[at : at + m])
+            out ^= lanes[at : at + m]
+            out *= _ODD
+            out ^= out >> _SHIFT
+        out *= _ODD
         return out[: max(0, m - k + 1)]
 
 
@@ -75,7 +79,7 @@ def byte_items(b: Bytes) -> Items:
 
 
 def word_items(b: Bytes) -> Items:
-    w = as_words(_column(b))
+    w = words_of(b)
     return Items(w, w.doc, w.first, w.start, w.end, word_hash(w))
 
 
@@ -93,10 +97,6 @@ def line_items(b: Bytes) -> Items:
     return Items(b, doc, first, start, end, slice_hash(b, start, end))
 
 
-def _column(b: Bytes) -> pa.Array:
-    return pa.Array.from_buffers(pa.large_binary(), b.n, [None, pa.py_buffer(b.off.astype(np.int64).tobytes()), pa.py_buffer(b.buf[: b.off[-1]].tobytes())])
-
-
 # -- packing ---------------------------------------------------------------
 
 
@@ -241,19 +241,27 @@ class Search:
         for who, b in unpack(table, self.piece):
             it = self.items(b)
             ok = within(it.doc, self.n)
-            at = sliding_argmin(it.grams(self.k), self.n - self.k + 1)[: ok.size] if ok.size else np.zeros(0, np.int32)
+            grams = it.grams(self.k)
+            at = sliding_argmin(grams, self.n - self.k + 1)[: ok.size] if ok.size else np.zeros(0, np.int32)
             p = np.flatnonzero(ok)
             a = at[p]
             cut = np.flatnonzero(runs(a, it.doc[p]))
             p0, p1 = p[cut], p[np.append(cut[1:], p.size) - 1] if p.size else p[cut]
-            anchor, ctx = it.grams(self.k)[a[cut]] if p.size else np.zeros(0, np.uint64), it.ranges(p0, p1 + self.n, 11)
+            anchor, ctx = mix(grams[a[cut]]) if p.size else np.zeros(0, np.uint64), it.ranges(p0, p1 + self.n, 11)
             doc = who[it.doc[p0]]
             seen.append((who, b, p0, p1, anchor, ctx, doc))
             all_.append((anchor, ctx, doc))
         anchor, ctx, doc = (np.concatenate(x) for x in zip(*all_)) if all_ else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        bucket = ((anchor & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((doc, ctx, anchor, bucket))
-        anchor, ctx, doc, bucket = anchor[order], ctx[order], doc[order], bucket[order]
+        order = np.argsort(anchor)
+        # Only anchors that repeat in the chunk need the order of their contexts.
+        same = anchor[order[1:]] == anchor[order[:-1]]
+        member = np.zeros(order.size, bool)
+        member[1:] |= same
+        member[:-1] |= same
+        some = order[member]
+        order[member] = some[np.lexsort((doc[some], ctx[some], anchor[some]))]
+        anchor, ctx, doc = anchor[order], ctx[order], doc[order]
+        bucket = ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         new = runs(anchor, ctx)
         head = np.flatnonzero(new)
         tail = np.append(head[1:], new.size) - 1 if head.size else head
@@ -265,7 +273,7 @@ class Search:
         _, _, (anchor, ctx, doc, several, bucket) = self.contexts(table, buckets)
         found = []
         for key, s in split(bucket):
-            found.append((key, chunk, 1, dump((anchor[s] >> np.uint64(32)).astype(np.uint32), (anchor[s] >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16), ctx[s], *short(doc[s]), np.packbits(several[s]))))
+            found.append((key, chunk, 1, dump((anchor[s] >> np.uint64(16)).astype(np.uint32), (anchor[s] & np.uint64(0xFFFF)).astype(np.uint16), ctx[s], *short(doc[s]), np.packbits(several[s]))))
         return rows(found)
 
     def answer(self, key: int, table: pa.Table) -> pa.Table:

@@ -161,22 +161,17 @@ def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
-    """Position of the least of each w consecutive values, leftmost of equals."""
-    pos, val, span = np.arange(h.size, dtype=np.int32), h, 1
-
-    def join(by: int) -> None:
-        nonlocal pos, val
-        right = val[by:] < val[: val.size - by]
-        val, pos = np.where(right, val[by:], val[: val.size - by]), np.where(right, pos[by:], pos[: pos.size - by])
-
+    """Position of the least of each w consecutive values by their upper 32 bits, leftmost of equals."""
     if h.size < w:
-        return pos[:0]
+        return np.zeros(0, np.int64)
+    low, span = np.uint64(0xFFFFFFFF), 1
+    val = h & ~low | np.arange(h.size, dtype=np.uint64)
     while span * 2 <= w:
-        join(span)
+        val = np.minimum(val[span:], val[:-span])
         span *= 2
     if span < w:
-        join(w - span)
-    return pos
+        val = np.minimum(val[w - span :], val[: span - w])
+    return (val & low).astype(np.int64)
 
 
 def pieces(n: int, size_of: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:

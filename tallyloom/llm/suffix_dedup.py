@@ -77,7 +77,7 @@ def suffix_dedup(docs: DataFrame, n: int = BYTES) -> DataFrame:
     than any other; rows that share a doc_id never remove each other's bytes; a text of fewer
     than ``n`` bytes stays as it is. Spans may cut a character in two, hence ``kept`` is binary.
     """
-    return Search(byte_items, n, min(ANCHOR, n), settle, piece=1 << 20).run(docs, _builder(n), _SCHEMA, _ARROW)
+    return Search(byte_items, n, min(ANCHOR, n), settle, piece=1 << 19).run(docs, _builder(n), _SCHEMA, _ARROW)
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
