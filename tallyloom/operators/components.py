@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,19 @@ def settle_table(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_state(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared checkpoint folder, for state that is joined round after round.
+
+    A checkpoint keeps the size estimate of its plan, and estimates of joins multiply: in a
+    loop they soon have millions of digits. A written table has its true size.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/state-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _finish(batches):
     import numpy as np
     import pyarrow as pa
@@ -54,31 +68,31 @@ def components(edges: DataFrame, last_edges: int = LAST_EDGES) -> DataFrame:
     nodes halves at least. Only key-value tables are shuffled, aggregated before the shuffle;
     joins stand directly on exchanges, so skewed partitions can be split.
     """
-    live = settle_table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = settle_state(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     total = None
     while live.count() > last_edges:
         both = live.unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = settle_table(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+        near = settle_state(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
         near = flatten(near)
         x, y = near.toDF("a", "ra"), near.toDF("b", "rb")
         merged = live.join(x, "a").join(y, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        live = settle_table(merged.distinct())
+        live = settle_state(merged.distinct())
         total = near if total is None else follow(total, near)
     last = live.coalesce(1).mapInArrow(_finish, "node long, root long")
-    return last if total is None else follow(total, settle_table(last))
+    return last if total is None else follow(total, settle_state(last))
 
 
 def follow(first: DataFrame, then: DataFrame) -> DataFrame:
     """Roots of ``first`` replaced by their roots in ``then``."""
     then = then.toDF("root", "top")
-    return settle_table(first.join(then, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    return settle_state(first.join(then, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def flatten(near: DataFrame) -> DataFrame:
     """Point every node to the top of its tree; doubles the reach of each pointer per round."""
     while True:
         top = near.toDF("root", "top")
-        jumped = settle_table(near.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.coalesce(F.col("top") != F.col("root"), F.lit(False)).alias("moved")))
+        jumped = settle_state(near.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.coalesce(F.col("top") != F.col("root"), F.lit(False)).alias("moved")))
         near = jumped.select("node", "root")
         if not jumped.where("moved").limit(1).count():
             return near

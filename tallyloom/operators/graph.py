@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components, settle_table
+from .components import components, settle_state
 
 #: Merchants' vertex ids start here.
 MERCHANT_BASE = 1_000_000_000
@@ -61,16 +61,16 @@ def wcc_hierarchical(vertices: DataFrame, edges: DataFrame, high: float = 10, lo
 
     Vertices that never settle are components of their own (level null).
     """
-    playing, found = settle_table(vertices.select("v").distinct()), None
+    playing, found = settle_state(vertices.select("v").distinct()), None
     for i in range(1, levels + 1):
         level = high - (i - 1) * (high - low) / levels
         strong = edges.where(F.col("weight") >= level)
-        live = settle_table(strong.join(playing.toDF("a"), "a", "left_semi").join(playing.toDF("b"), "b", "left_semi").select("a", "b"))
+        live = settle_state(strong.join(playing.toDF("a"), "a", "left_semi").join(playing.toDF("b"), "b", "left_semi").select("a", "b"))
         if not live.limit(1).count():
             continue
-        settled = settle_table(components(live).toDF("v", "c_id").withColumn("level", F.lit(i)))
+        settled = settle_state(components(live).toDF("v", "c_id").withColumn("level", F.lit(i)))
         found = settled if found is None else found.unionByName(settled)
-        playing = settle_table(playing.join(settled, "v", "left_anti"))
+        playing = settle_state(playing.join(settled, "v", "left_anti"))
     alone = playing.select("v", F.col("v").alias("c_id"), F.lit(None).cast("int").alias("level"))
     found = alone if found is None else found.unionByName(alone)
     return found.join(found.groupBy("c_id").agg(F.count(F.lit(1)).alias("c_size")), "c_id").select("v", "c_id", "c_size", "level")
@@ -84,11 +84,11 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_change: float = 0.001,
     """
     links = both_ways(edges)
     out = links.groupBy("v").agg(F.sum("weight").alias("total"))
-    pull = settle_table(links.join(out.withColumnRenamed("v", "u"), "u").select("v", "u", (F.col("weight") / F.col("total")).alias("share")))
-    score = settle_table(out.select("v", F.lit(1.0).alias("s")))
+    pull = settle_state(links.join(out.withColumnRenamed("v", "u"), "u").select("v", "u", (F.col("weight") / F.col("total")).alias("share")))
+    score = settle_state(out.select("v", F.lit(1.0).alias("s")))
     for _ in range(max_iteration):
         got = pull.join(score.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.sum(F.col("share") * F.col("s")).alias("sum"))
-        score = settle_table(score.withColumnRenamed("s", "old").join(got, "v").select("v", (F.lit(1 - damping) + damping * F.col("sum")).alias("s"), "old"))
+        score = settle_state(score.withColumnRenamed("s", "old").join(got, "v").select("v", (F.lit(1 - damping) + damping * F.col("sum")).alias("s"), "old"))
         change = score.agg(F.max(F.abs(F.col("s") - F.col("old")) / (1 + F.abs(F.col("old"))))).first()[0]
         score = score.select("v", "s")
         if change is None or change <= max_change:
@@ -103,10 +103,10 @@ def louvain(edges: DataFrame, max_iteration: int = 20, alternate: bool = False)
     id), all at once; with ``alternate``, cards move first, then merchants, on fresh totals.
     The synchronous form may oscillate and then ends at the iteration cap.
     """
-    links = settle_table(both_ways(edges))
-    degree = settle_table(links.groupBy("v").agg(F.sum("weight").cast("double").alias("k")))
+    links = settle_state(both_ways(edges))
+    degree = settle_state(links.groupBy("v").agg(F.sum("weight").cast("double").alias("k")))
     two_m = degree.agg(F.sum("k")).first()[0] or 0.0
-    state = settle_table(degree.select("v", "k", F.col("v").alias("c")))
+    state = settle_state(degree.select("v", "k", F.col("v").alias("c")))
     sides = [F.col("v") < MERCHANT_BASE, F.col("v") >= MERCHANT_BASE] if alternate else [F.lit(True)]
     rounds = 0
     while two_m and rounds < max_iteration:
@@ -117,7 +117,7 @@ def louvain(edges: DataFrame, max_iteration: int = 20, alternate: bool = False)
             own = state.select("v", "k", F.col("c").alias("now"))
             gain = F.col("kic") - (F.col("sigma") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)) * F.col("k") / two_m
             best = seen.join(total, "c").join(own, "v").groupBy("v").agg(F.max_by("c", F.struct(gain.alias("g"), (-F.col("c")).alias("n"))).alias("to"))
-            state = settle_table(state.join(best, "v", "left").select("v", "k", F.coalesce("to", "c").alias("c"), (F.coalesce("to", "c") != F.col("c")).alias("moved")))
+            state = settle_state(state.join(best, "v", "left").select("v", "k", F.coalesce("to", "c").alias("c"), (F.coalesce("to", "c") != F.col("c")).alias("moved")))
             moved += state.where("moved").count()
             state = state.drop("moved")
         if not moved:
@@ -131,11 +131,11 @@ def louvain(edges: DataFrame, max_iteration: int = 20, alternate: bool = False)
 
 def kcore(edges: DataFrame, max_core: int = 50) -> DataFrame:
     """(v, core_number) by peeling; survivors of the cap get ``max_core``. Vertices without an edge are not in the result."""
-    live = settle_table(both_ways(edges).select("v", "u"))
+    live = settle_state(both_ways(edges).select("v", "u"))
     found = None
     k = 1
     while k <= max_core:
-        degree = settle_table(live.groupBy("v").agg(F.count(F.lit(1)).alias("d")))
+        degree = settle_state(live.groupBy("v").agg(F.count(F.lit(1)).alias("d")))
         least = degree.agg(F.min("d")).first()[0]
         if least is None:
             break
@@ -143,11 +143,11 @@ def kcore(edges: DataFrame, max_core: int = 50) -> DataFrame:
             # Nothing to peel until k passes the least degree: go straight there.
             k = least + 1
             continue
-        low = settle_table(degree.where(F.col("d") < k).select("v", F.lit(k - 1).alias("core_number")))
+        low = settle_state(degree.where(F.col("d") < k).select("v", F.lit(k - 1).alias("core_number")))
         found = low if found is None else found.unionByName(low)
-        live = settle_table(live.join(low, "v", "left_anti").join(low.select(F.col("v").alias("u")), "u", "left_anti").select("v", "u"))
+        live = settle_state(live.join(low, "v", "left_anti").join(low.select(F.col("v").alias("u")), "u", "left_anti").select("v", "u"))
         # Vertices whose last neighbour has just gone keep no row in ``live``: they are peeled at this k as well.
-        gone = settle_table(degree.join(low, "v", "left_anti").join(live.select("v").distinct(), "v", "left_anti").select("v", F.lit(k - 1).alias("core_number")))
+        gone = settle_state(degree.join(low, "v", "left_anti").join(live.select("v").distinct(), "v", "left_anti").select("v", F.lit(k - 1).alias("core_number")))
         found = found.unionByName(gone)
     rest = live.select("v").distinct().select("v", F.lit(max_core).alias("core_number"))
     return rest if found is None else found.unionByName(rest)
@@ -170,16 +170,16 @@ def fastrp(edges: DataFrame, seen: int, dim: int = 32, beta: float = -0.1, weigh
     An iteration of weight 0 is skipped. Vertices without an edge are not in the result.
     """
     links = both_ways(edges).select("v", "u")
-    degree = settle_table(links.groupBy("v").agg(F.count(F.lit(1)).alias("deg")))
+    degree = settle_state(links.groupBy("v").agg(F.count(F.lit(1)).alias("deg")))
     scale = F.pow(F.col("deg") / F.lit(float(seen)), F.lit(beta))
-    spread = settle_table(links.join(degree.select(F.col("v").alias("u"), scale.alias("l")), "u").join(degree, "v").select("v", "u", (F.col("l") / F.col("deg")).alias("f")))
+    spread = settle_state(links.join(degree.select(F.col("v").alias("u"), scale.alias("l")), "u").join(degree, "v").select("v", "u", (F.col("l") / F.col("deg")).alias("f")))
     sign = F.when(F.col("bucket") == 0, F.sqrt(F.lit(float(s)))).otherwise(-F.sqrt(F.lit(float(s))))
     prev = degree.select("v", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("d")).withColumn("bucket", drawn_bucket("v", "cast(d AS long)", seed, s)).where("bucket < 2").select("v", "d", sign.alias("x"))
     total = None
     for w in weights:
         if w == 0:
             continue
-        prev = settle_table(spread.join(prev.withColumnRenamed("v", "u"), "u").groupBy("v", "d").agg(F.sum(F.col("x") * F.col("f")).alias("x")))
+        prev = settle_state(spread.join(prev.withColumnRenamed("v", "u"), "u").groupBy("v", "d").agg(F.sum(F.col("x") * F.col("f")).alias("x")))
         part = prev.select("v", "d", (F.col("x") * w).alias("x"))
         total = part if total is None else total.unionByName(part)
     final = total.groupBy("v", "d").agg(F.sum("x").alias("x"))

@@ -11,6 +11,11 @@ from .aggregates import MONEY, _interval, _over_builds, known_before
 HOUR, DAY = 3600, 86400
 
 
+def rounded(value: Column, places: int = 6) -> Column:
+    """Halves up, by plain arithmetic, so that any engine with the same doubles agrees."""
+    return F.floor(value * 10**places + 0.5) / float(10**places)
+
+
 def velocity(fact: DataFrame, parity: bool = True) -> DataFrame:
     """Nine features per row from strictly earlier rows of its card, time ties in order of event_seq.
 
@@ -36,15 +41,15 @@ def velocity(fact: DataFrame, parity: bool = True) -> DataFrame:
         (ut - F.lag("unix_time").over(order)).alias("gap"), (ut - F.lag("unix_time").over(pair)).alias("pair_gap"),
         prior(F.count, F.lit(1), HOUR).alias("n1"), prior(F.count, F.lit(1), DAY).alias("n24"), prior(F.sum, money, DAY).cast("double").alias("a24"),
         (ut - F.first("unix_time").over(order)).alias("tenure"), (F.row_number().over(pair) - 1).alias("pairs"), (F.row_number().over(order) - 1).alias("priors"),
-        F.sum(money).over(before).cast("double").alias("s"), F.sum(F.col("amount") * F.col("amount")).over(before).alias("ss"),
+        F.sum(money).over(before).cast("double").alias("s"), F.sum(money * money).over(before).cast("double").alias("ss"),
     )
     positive = F.when(F.col("gap") > 0, F.col("gap"))
     rows = rows.withColumn("gaps", F.count(positive).over(before)).withColumn("gap_sum", F.sum(positive).over(before))
     n = (F.col("gaps") + 1 if parity else F.col("priors")).cast("double")
     var = F.col("ss") / n - (F.col("s") / n) * (F.col("s") / n)
     enough = (F.col("gaps") > 1 if parity else F.col("priors") > 1) & (var > 0)
-    z = F.when(enough, F.round((F.col("amount") - F.col("s") / n) / F.sqrt(var), 6))
-    ratio = F.when((F.col("gaps") > 0) & (F.col("gap") > 0), F.round(F.col("gap") / (F.col("gap_sum") / F.col("gaps")), 6)).otherwise(-1.0)
+    z = F.when(enough, rounded((F.col("amount") - F.col("s") / n) / F.sqrt(var)))
+    ratio = F.when((F.col("gaps") > 0) & (F.col("gap") > 0), rounded(F.col("gap") / (F.col("gap_sum") / F.col("gaps")))).otherwise(-1.0)
     return rows.select(
         "event_seq", F.coalesce("gap", F.lit(-1)).cast("long").alias("row_card_gap_seconds"), F.coalesce("pair_gap", F.lit(-1)).cast("long").alias("row_pair_gap_seconds"), F.col("n1").cast("long").alias("row_card_txn_count_1h"), F.col("n24").cast("long").alias("row_card_txn_count_24h"),
         F.col("a24").alias("row_card_amount_24h"), F.col("tenure").cast("long").alias("row_card_tenure_seconds"), ratio.alias("row_card_gap_ratio"), (F.coalesce(z, F.lit(-1.0)) if parity else z).alias("row_amount_z"), F.col("pairs").cast("long").alias("row_pair_txn_count"),

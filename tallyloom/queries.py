@@ -221,7 +221,7 @@ v AS (
     count(*) OVER (PARTITION BY card ORDER BY unix_time RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) + count(*) OVER t AS n1,
     count(*) OVER (PARTITION BY card ORDER BY unix_time RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) + count(*) OVER t AS n24,
     coalesce(sum(amount::DECIMAL(18,2)) OVER (PARTITION BY card ORDER BY unix_time RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING), 0) + coalesce(sum(amount::DECIMAL(18,2)) OVER t, 0) AS a24,
-    unix_time - first_value(unix_time) OVER o AS tenure, row_number() OVER p - 1 AS pairs, sum(amount::DECIMAL(18,2)) OVER b AS s, sum(amount * amount) OVER b AS ss
+    unix_time - first_value(unix_time) OVER o AS tenure, row_number() OVER p - 1 AS pairs, sum(amount::DECIMAL(18,2)) OVER b AS s, (sum(amount::DECIMAL(18,2) * amount::DECIMAL(18,2)) OVER b)::DOUBLE AS ss
   FROM fact
   WINDOW o AS (PARTITION BY card ORDER BY unix_time, event_seq), p AS (PARTITION BY card, merchant ORDER BY unix_time, event_seq),
     b AS (PARTITION BY card ORDER BY unix_time, event_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t AS (PARTITION BY card, unix_time ORDER BY event_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
@@ -232,10 +232,10 @@ vv AS (SELECT *, ss / (gaps + 1) - (s::DOUBLE / (gaps + 1)) * (s::DOUBLE / (gaps
 
 @query("w1_card_row_temporal", [*ORDERS, VELOCITY_SQL], """
 SELECT event_seq, coalesce(gap, -1) AS row_card_gap_seconds, coalesce(pair_gap, -1) AS row_pair_gap_seconds, n1 AS row_card_txn_count_1h, n24 AS row_card_txn_count_24h, a24::DOUBLE AS row_card_amount_24h, tenure AS row_card_tenure_seconds,
-  CASE WHEN gaps > 0 AND gap > 0 THEN round(gap / (gap_sum::DOUBLE / gaps), 6) ELSE -1 END AS row_card_gap_ratio,
-  coalesce(CASE WHEN gaps > 1 AND var > 0 THEN round((amount - s::DOUBLE / (gaps + 1)) / sqrt(var), 3) END, -1) AS row_amount_z_3, pairs AS row_pair_txn_count FROM vv""")
+  CASE WHEN gaps > 0 AND gap > 0 THEN floor(gap / (gap_sum::DOUBLE / gaps) * 1e6 + 0.5) / 1e6 ELSE -1 END AS row_card_gap_ratio,
+  coalesce(CASE WHEN gaps > 1 AND var > 0 THEN floor((amount - s::DOUBLE / (gaps + 1)) / sqrt(var) * 1e6 + 0.5) / 1e6 END, -1) AS row_amount_z, pairs AS row_pair_txn_count FROM vv""")
 def w1(spark, d):
-    return windows.velocity(domain.orders_fact(spark, d)).withColumn("row_amount_z_3", F.round("row_amount_z", 3)).drop("row_amount_z")
+    return windows.velocity(domain.orders_fact(spark, d))
 
 
 @query("w2_card_interval_max", EVENTS, """
@@ -397,7 +397,7 @@ def ga5(spark, d):
 
 @query("ga6_louvain_bipartite")
 def ga6(spark, d):
-    return graph.louvain(graph.bipartite(interactions(spark, d), MIN_TXN), alternate=True)[0]
+    return graph.louvain(graph.bipartite(interactions(spark, d), MIN_TXN), max_iteration=5, alternate=True)[0]
 
 
 @query("ga7_louvain_card")
@@ -407,7 +407,7 @@ def ga7(spark, d):
 
 @query("ga8_kcore_card")
 def ga8(spark, d):
-    return graph.kcore(card_edges(spark, d))
+    return graph.kcore(card_edges(spark, d, 3))
 
 
 def fastrp_sql(dim: int) -> str:
@@ -422,11 +422,11 @@ nrm AS (SELECT v, sqrt(sum(x * x)) AS n FROM fin GROUP BY v)"""
 
 
 @query("ga9_fastrp_card", [*EVENT_GRAPH, f"bi3 AS ({projection_sql('merchant')}), lw AS (SELECT a AS v, b AS u FROM bi3 UNION ALL SELECT b, a FROM bi3)", fastrp_sql(8)], """
-SELECT deg.v, d, round(coalesce(x, 0) / CASE WHEN n > 0 THEN n ELSE 1 END, 4) AS x FROM deg CROSS JOIN range(0, 8) t(d) LEFT JOIN fin USING (v, d) LEFT JOIN nrm ON nrm.v = deg.v""")
+SELECT deg.v, d, round(coalesce(x, 0) / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS x FROM deg CROSS JOIN range(0, 8) t(d) LEFT JOIN fin USING (v, d) LEFT JOIN nrm ON nrm.v = deg.v""")
 def ga9(spark, d):
     edges = ga10c(spark, d)
     seen = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().count()
-    return graph.fastrp(edges, seen, dim=8).select("v", F.posexplode("embedding").alias("d", "x")).select("v", F.col("d").cast("long").alias("d"), F.round("x", 4).alias("x"))
+    return graph.fastrp(edges, seen, dim=8).select("v", F.posexplode("embedding").alias("d", "x")).select("v", F.col("d").cast("long").alias("d"), "x")
 
 
 @query("g7_community_stats", [*EVENT_GRAPH, WCC_SQL, """

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import SMALL
 
@@ -10,7 +11,7 @@ from tallyloom import queries
 
 
 def plain(value):
-    if value is None or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NA or isinstance(value, float) and math.isnan(value):
         return None
     if isinstance(value, (list, tuple, np.ndarray)):
         return tuple(plain(x) for x in value)
