@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import metrics, ml, scalars
 from .operators import aggregates as agg
 from .operators import graph, identity, matrix, sampling, windows
+from .operators.components import settle_state, settle_table
 from .plans import builds as plans
 from .sources import domain
 
@@ -38,12 +39,12 @@ def query(name: str, ctes: list[str] | None = None, body: str | None = None):
 
 
 def orders_builds(spark, d) -> tuple[DataFrame, list[plans.Build]]:
-    fact = domain.orders_fact(spark, d)
+    fact = settle_state(domain.orders_fact(spark, d))
     return fact, plans.default_builds(fact)
 
 
 def events_builds(spark, d) -> tuple[DataFrame, list[plans.Build]]:
-    fact = domain.events_fact(spark, d)
+    fact = settle_state(domain.events_fact(spark, d))
     return fact, plans.default_builds(fact)
 
 
@@ -312,8 +313,6 @@ EVENT_GRAPH = [domain.EVENTS_SQL, GRAPH_EDGES_SQL]
 
 def interactions(spark, d) -> DataFrame:
     """Interaction edges of the events under CUTOFF."""
-    from .operators.components import settle_table
-
     build = plans.Build("g", CUTOFF, CUTOFF, CUTOFF + 1, 0)
     return settle_table(agg.interaction_edges(domain.events_fact(spark, d), [build]))
 
@@ -357,8 +356,6 @@ def ga1(spark, d):
 
 
 def card_edges(spark, d, least: int = 2) -> DataFrame:
-    from .operators.components import settle_table
-
     return settle_table(ga10c(spark, d).where(F.col("weight") >= least))
 
 
@@ -505,15 +502,11 @@ IDENTITY = [domain.PII_SQL, KNOWN_SQL]
 
 
 def matched(spark, d) -> tuple[DataFrame, DataFrame]:
-    from .operators.components import settle_table
-
     pii = settle_table(domain.party_pii(spark, d))
     return pii, settle_table(identity.match_parties(pii, CUTOFF, domain.RELATIONS))
 
 
 def entities(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    from .operators.components import settle_table
-
     pii, matches = matched(spark, d)
     stamped = identity.stamp_provenance(matches, pii, CUTOFF)
     return pii, matches, settle_table(identity.unify(identity.scoped_parties(pii, CUTOFF), stamped, CUTOFF))
@@ -761,3 +754,178 @@ def m3(spark, d):
     columns = [c for c in rows.columns if c not in ("event_seq", "split_id", "y")]
     model = ml.train_trees(rows, columns, max_iter=5, depth=3)
     return ml.score_trees(model, rows.where("split_id = 2"), columns).select("event_seq", "y", F.round("score", 6).alias("score"))
+
+
+# -- exports, loaders, scalar functions ---------------------------------------------
+
+
+@query("s4_card_features", [*ORDERS, EDGES_SQL], f"""
+SELECT c.card, c.txn_count, c.total_txn_amount, c.max_txn_amount, c.min_txn_amount, c.avg_txn_amount, g.dm AS distinct_merchant_count, g.rm AS repeated_merchant_count
+FROM ({stats_sql('card')}) c JOIN (SELECT card, count(*) AS dm, count(*) FILTER (txn_count >= 2) AS rm FROM edges_b WHERE build_id = 'test' GROUP BY 1) g ON g.card = c.card WHERE c.build_id = 'test'""")
+def s4(spark, d):
+    return entity_features(spark, d, "card")
+
+
+@query("s5_merchant_features", [*ORDERS, EDGES_SQL], f"""
+SELECT c.merchant, c.txn_count, c.total_txn_amount, c.max_txn_amount, c.min_txn_amount, c.avg_txn_amount, g.dm AS distinct_card_count, g.rm AS repeated_card_count
+FROM ({stats_sql('merchant')}) c JOIN (SELECT merchant, count(*) AS dm, count(*) FILTER (txn_count >= 2) AS rm FROM edges_b WHERE build_id = 'test' GROUP BY 1) g ON g.merchant = c.merchant WHERE c.build_id = 'test'""")
+def s5(spark, d):
+    return entity_features(spark, d, "merchant")
+
+
+def entity_features(spark, d, key: str) -> DataFrame:
+    """Features of the entities the test build has seen, and of no others."""
+    fact, b = orders_builds(spark, d)
+    b = [x for x in b if x.build_id == "test"]
+    degrees = agg.degree_stats(agg.interaction_edges(fact, b), key)
+    stats = agg.transaction_stats(fact, key, b).join(degrees.select(key).distinct(), key, "left_semi")
+    return stats.join(degrees, [key, "build_id"]).drop("build_id")
+
+
+@query("s5_multi_location_gate", [domain.HOMES_SQL.strip()], 'SELECT count(*) AS merchants, 0::BIGINT AS "several_locations_MUST_BE_ZERO" FROM sites')
+def s5g(spark, d):
+    per = domain.sites(spark, d).groupBy("merchant").agg(F.count_if(F.col("lat").isNotNull()).alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("merchants"), F.count_if(F.col("n") > 1).alias("several_locations_MUST_BE_ZERO"))
+
+
+@query("s12_relation_edges", [domain.EVENTS_SQL, domain.PII_SQL, domain.DEVICE_SQL], """
+SELECT relation, count(*) FILTER (time > 0) AS edges, count(*) FILTER (time = 0) AS skipped_unknown_time, min(time) FILTER (time > 0) AS first_time, max(time) AS last_time FROM (
+  SELECT 'card_merchant' AS relation, event_seq AS time FROM fact0 UNION ALL SELECT 'party_' || rel, seq FROM pii UNION ALL SELECT 'party_' || kind, seq FROM uses) GROUP BY relation""")
+def s12(spark, d):
+    rows = relation_edges(spark, d)
+    known = F.col("time") > 0
+    return rows.groupBy("relation").agg(F.count_if(known).alias("edges"), F.count_if(~known).alias("skipped_unknown_time"), F.min(F.when(known, F.col("time"))).alias("first_time"), F.max("time").alias("last_time"))
+
+
+def relation_edges(spark, d) -> DataFrame:
+    """All stored relations as (relation, src, dst, time)."""
+    fact = domain.events_fact(spark, d).select(F.lit("card_merchant").alias("relation"), F.col("card").cast("string").alias("src"), F.col("merchant").cast("string").alias("dst"), F.col("event_seq").alias("time"))
+    pii = domain.party_pii(spark, d).select(F.concat(F.lit("party_"), "rel").alias("relation"), F.col("party").cast("string").alias("src"), F.col("value").alias("dst"), F.col("seq").alias("time"))
+    uses = domain.party_device(spark, d).select(F.concat(F.lit("party_"), "kind").alias("relation"), F.col("party").cast("string").alias("src"), F.col("endpoint").cast("string").alias("dst"), F.col("seq").alias("time"))
+    return fact.unionByName(pii).unionByName(uses)
+
+
+@query("s18_dense_edges", EVENTS, """
+SELECT c.i AS src, m.i AS dst, count(*) AS n, false AS reversed FROM fact JOIN (SELECT card, row_number() OVER (ORDER BY card) - 1 AS i FROM (SELECT DISTINCT card FROM fact)) c USING (card) JOIN (SELECT merchant, row_number() OVER (ORDER BY merchant) - 1 AS i FROM (SELECT DISTINCT merchant FROM fact)) m USING (merchant) GROUP BY 1, 2
+UNION ALL SELECT m.i, c.i, count(*), true FROM fact JOIN (SELECT card, row_number() OVER (ORDER BY card) - 1 AS i FROM (SELECT DISTINCT card FROM fact)) c USING (card) JOIN (SELECT merchant, row_number() OVER (ORDER BY merchant) - 1 AS i FROM (SELECT DISTINCT merchant FROM fact)) m USING (merchant) GROUP BY 1, 2""")
+def s18(spark, d):
+    fact = domain.events_fact(spark, d)
+    rows = sampling.map_ids(fact, "card", sampling.dense_ids(fact, "card"), "card", "src")
+    rows = sampling.map_ids(rows, "merchant", sampling.dense_ids(fact, "merchant"), "merchant", "dst")
+    one = rows.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return one.withColumn("reversed", F.lit(False)).unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n", F.lit(True).alias("reversed")))
+
+
+@query("s19_node_features", EVENT_GRAPH, f"""
+SELECT i AS idx, n AS txn_count FROM (SELECT card, row_number() OVER (ORDER BY card) - 1 AS i FROM (SELECT DISTINCT card FROM fact0)) LEFT JOIN (SELECT card, count(*)::BIGINT AS n FROM fact0 WHERE event_seq < {CUTOFF} GROUP BY 1) USING (card)""")
+def s19(spark, d):
+    fact = domain.events_fact(spark, d)
+    stats = agg.transaction_stats(fact, "card", [plans.Build("g", CUTOFF, CUTOFF, CUTOFF + 1, 0)]).select("card", "txn_count")
+    rows = sampling.dense_ids(fact, "card").join(stats, "card", "left").select("idx", F.coalesce("txn_count", F.lit(-1)).alias("txn_count"))
+    return scalars.sentinel_to_null(rows, ["txn_count"])
+
+
+@query("s20_matrix_loader", ORDERS, "SELECT event_seq, amount::FLOAT AS amount, is_fraud, split_id FROM fact")
+def s20(spark, d):
+    rows = domain.orders_fact(spark, d).select("event_seq", "amount", "is_fraud", "split_id")
+    return matrix.narrow_floats(rows)
+
+
+@query("s22_stream_loader", EVENTS, """
+SELECT event_seq, c.i AS card_idx, round((amount - m) / sd, 4) AS amount_z, 0 AS amount_missing FROM fact JOIN (SELECT card, row_number() OVER (ORDER BY card) - 1 AS i FROM (SELECT DISTINCT card FROM fact)) c USING (card), (SELECT avg(amount) AS m, stddev_pop(amount) AS sd FROM fact WHERE split_id = 0)""")
+def s22(spark, d):
+    fact = domain.events_fact(spark, d)
+    scale = fact.where("split_id = 0").agg(F.avg("amount").alias("m"), F.stddev_pop("amount").alias("sd"))
+    rows = scalars.missing_indicators(sampling.map_ids(fact, "card", sampling.dense_ids(fact, "card"), "card", "card_idx"), ["amount"])
+    return rows.crossJoin(F.broadcast(scale)).select("event_seq", "card_idx", F.round((F.col("amount") - F.col("m")) / F.col("sd"), 4).alias("amount_z"), "amount_missing")
+
+
+@query("s25_window_neighbours", EVENTS, f"""
+SELECT side, count(*) AS n, count(DISTINCT seed) AS seeds, count(*) FILTER (neighbour IS NULL) AS neighbour_unmapped FROM (
+  SELECT side, seed, neighbour, row_number() OVER (PARTITION BY side, seed ORDER BY event_seq DESC) AS nth FROM (SELECT 'card' AS side, card AS seed, merchant AS neighbour, event_seq FROM fact WHERE event_seq < {CUTOFF} UNION ALL SELECT 'merchant', merchant, card, event_seq FROM fact WHERE event_seq < {CUTOFF})) WHERE nth <= 10 GROUP BY side""")
+def s25(spark, d):
+    fact = domain.events_fact(spark, d)
+    found = windows.last_neighbours(fact, CUTOFF)
+    shops = sampling.map_ids(found.where("side = 'card'"), "neighbour", sampling.dense_ids(fact, "merchant"), "merchant", "idx2")
+    cards = sampling.map_ids(found.where("side = 'merchant'"), "neighbour", sampling.dense_ids(fact, "card"), "card", "idx2")
+    return shops.unionByName(cards).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seed").alias("seeds"), F.count_if(F.col("idx2").isNull()).alias("neighbour_unmapped"))
+
+
+@query("f10_droppable_columns", ORDERS, "SELECT unnest(['always_null', 'constant']) AS dropped")
+def f10(spark, d):
+    train = domain.orders_fact(spark, d).where("split_id = 0").withColumn("constant", F.lit(3)).withColumn("always_null", F.lit(None).cast("double"))
+    names = matrix.droppable(train, ["amount", "constant", "always_null", "unix_time"])
+    return spark.createDataFrame([(c,) for c in names], "dropped string")
+
+
+@query("f_one_hot", EVENTS, "SELECT event_seq, (use_chip = 'error')::INT AS use_chip_error, (use_chip = 'view')::INT AS use_chip_view FROM fact")
+def one_hot(spark, d):
+    rows = domain.events_fact(spark, d).select("event_seq", "use_chip")
+    return scalars.one_hot(rows, "use_chip", ["error", "view"]).drop("use_chip")
+
+
+@query("f_parse_bool", None, "SELECT event_id, CASE WHEN event_id % 5 IN (0, 1) THEN 1 WHEN event_id % 5 IN (2, 3) THEN 0 END AS flag FROM events")
+def parse_bool(spark, d):
+    words = F.element_at(F.array(*[F.lit(x) for x in (" True", "YES", "f", "0", "maybe")]), (F.col("event_id") % 5 + 1).cast("int"))
+    return domain.table(spark, d, "events").select("event_id", scalars.parse_bool(words).alias("flag"))
+
+
+@query("f_safe_names", None, r"SELECT DISTINCT event_type, regexp_replace(lower('A b/' || event_type), '[^0-9a-z]+', '_', 'g') AS name FROM events")
+def safe_names(spark, d):
+    return domain.table(spark, d, "events").select("event_type", scalars.safe_name(F.concat(F.lit("A b/"), "event_type")).alias("name")).distinct()
+
+
+@query("f_link_scores", None, """
+SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * 0.5 * x[2]::DOUBLE)), 4) AS distmult,
+  round(greatest(a.embedding[1]::DOUBLE, 0) - a.embedding[1]::DOUBLE * (a.label % 2) + ln(1 + exp(-abs(a.embedding[1]::DOUBLE))), 6) AS bce, a.vec_id * 1000 + a.label AS pair_key, round(ln(1 + a.label), 6) AS log_age
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def link_scores(spark, d):
+    e = domain.table(spark, d, "embeddings")
+    j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("y")), "vec_id")
+    half = F.transform("embedding", lambda x: F.lit(0.5))
+    logit = F.col("embedding")[0].cast("double")
+    return j.select("vec_id", F.round(scalars.distmult(F.col("embedding"), half, F.col("y")), 4).alias("distmult"), F.round(scalars.bce_with_logits(logit, F.col("label") % 2), 6).alias("bce"), scalars.pair_key(F.col("vec_id"), F.col("label"), 1000).alias("pair_key"), F.round(scalars.log_age(F.col("label")), 6).alias("log_age"))
+
+
+@query("j2_community_split", [*EVENT_GRAPH, WCC_SQL], f"""
+SELECT v AS card, c_id AS cid, n AS ccom_member_count FROM comp JOIN (SELECT c_id, count(*) AS n FROM comp GROUP BY 1 HAVING NOT bool_and(v >= {graph.MERCHANT_BASE})) USING (c_id) WHERE v < {graph.MERCHANT_BASE}""")
+def j2(spark, d):
+    stats = g7(spark, d).where(F.col("entity_family").isin("card", "bipartite")).select("cid", F.col("member_count").alias("ccom_member_count"))
+    cards = ga1(spark, d).where((F.col("v") < graph.MERCHANT_BASE) & (F.col("c_id") >= 0)).select(F.col("v").alias("card"), F.col("c_id").alias("cid"))
+    return cards.join(stats, "cid").select("card", "cid", "ccom_member_count")
+
+
+@query("j11_compare_arms", ORDERS, """
+SELECT count(*) AS rows, 0::BIGINT AS "left_missing_MUST_BE_ZERO", 0::BIGINT AS "right_missing_MUST_BE_ZERO", 0::BIGINT AS "labels_differ_MUST_BE_ZERO", round(avg(abs(floor(amount / 100) - unix_time % 997)), 6) AS mean_abs_difference FROM fact""")
+def j11(spark, d):
+    s = scored(spark, d)
+    return metrics.compare_arms(s.select("event_seq", "y", "score"), s.select("event_seq", "y", F.col("other").alias("score")), "event_seq")
+
+
+@query("ga2_wcc_merchant", [*EVENT_GRAPH, f"bi2 AS ({projection_sql('card')})", WCC_SQL.replace("FROM bi", "FROM bi2")], "SELECT v, c_id FROM comp")
+def ga2m(spark, d):
+    edges = ga10m(spark, d)
+    return graph.wcc(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct(), edges).select("v", "c_id")
+
+
+@query("ga5_pagerank_merchant", [*EVENT_GRAPH, f"bi3 AS ({projection_sql('card')}), lw AS (SELECT a AS v, b AS u, weight FROM bi3 UNION ALL SELECT b, a, weight FROM bi3)", pagerank_sql(5)], "SELECT v, round(s, 6) AS pagerank FROM p5")
+def ga5m(spark, d):
+    return graph.pagerank(ga10m(spark, d), max_change=0.0, max_iteration=5).select("v", F.round("pagerank", 6).alias("pagerank"))
+
+
+@query("ga7_louvain_merchant")
+def ga7m(spark, d):
+    return graph.louvain(ga10m(spark, d), max_iteration=3)[0]
+
+
+@query("ga8_kcore_merchant")
+def ga8m(spark, d):
+    return graph.kcore(ga10m(spark, d).where("weight >= 3"), max_core=10)
+
+
+@query("ga9_fastrp_merchant", [*EVENT_GRAPH, f"bi3 AS ({projection_sql('card')}), lw AS (SELECT a AS v, b AS u FROM bi3 UNION ALL SELECT b, a FROM bi3)", fastrp_sql(8)], """
+SELECT deg.v, d, round(coalesce(x, 0) / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS x FROM deg CROSS JOIN range(0, 8) t(d) LEFT JOIN fin USING (v, d) LEFT JOIN nrm ON nrm.v = deg.v""")
+def ga9m(spark, d):
+    edges = ga10m(spark, d)
+    seen = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().count()
+    return graph.fastrp(edges, seen, dim=8).select("v", F.posexplode("embedding").alias("d", "x")).select("v", F.col("d").cast("long").alias("d"), "x")
