@@ -22,7 +22,7 @@ def look_up(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int
     return few.unionByName(marked.where("__hot IS NULL").drop("__hot").join(groups.where(F.col(count) <= large), key))
 
 
-def running_total(rows: DataFrame, key: str, order: list[str], value: str, total: int, out: str, block: int = 4096) -> DataFrame:
+def running_total(rows: DataFrame, key: str, order: list[str], value: str, total: int, out: str, block: int = 1024) -> DataFrame:
     """``rows`` with the sum of ``value`` over the rows of the same key that come before, ``order`` by a spread hash first.
 
     Rows are dealt into blocks of about ``block`` rows of one key by a hash; windows run

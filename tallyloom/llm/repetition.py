@@ -17,7 +17,7 @@ from ._repeats import id_column
 from ._text import Words, as_words, covered, gram_hash, ids, mix, per_text, text_pieces, texts, within, word_hash
 
 #: Largest share of word characters inside duplicated n-grams, by n.
-NGRAM_LIMITS = {5: 0.25, 7: 0.22, 10: 0.20}
+NGRAM_LIMITS = {3: 0.60, 5: 0.30, 7: 0.28, 10: 0.26}
 #: Largest share of characters on lines that are equal to an earlier line.
 LINE_LIMIT = 0.30
 #: Most symbols a word.

@@ -18,13 +18,13 @@ from ._linear import SLOTS, bare, held_out_column, labelled, lowered, score_with
 from ._text import Words, slice_hash, text_pieces
 
 #: Most labelled texts to learn from.
-MAX_LABELLED = 12000
-EPOCHS = 12
+MAX_LABELLED = 6000
+EPOCHS = 8
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.2
-#: Words longer than this many bytes count by their first bytes, too.
-STEM = 6
+#: Words longer than these numbers of bytes count by their first bytes, too.
+STEMS = (4, 5, 6, 7)
 #: Sentences start out as this unlikely to be toxic.
-PRIOR = -6.0
+PRIOR = -10.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 
@@ -47,9 +47,12 @@ def slots(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     w = lowered(column)
     sentence = sentences(w)
     start, end = bare(w)
-    stem = np.flatnonzero(end - start > STEM)
-    slot = np.concatenate([slice_hash(w, start, end, 1), slice_hash(w, start[stem], start[stem] + STEM, 2)])
-    return w, sentence, (slot & np.uint64(SLOTS - 1)).astype(np.int64), np.concatenate([sentence, sentence[stem]])
+    slot, own = [slice_hash(w, start, end, 1)], [sentence]
+    for n in STEMS:
+        stem = np.flatnonzero(end - start > n)
+        slot.append(slice_hash(w, start[stem], start[stem] + n, 2))
+        own.append(sentence[stem])
+    return w, sentence, (np.concatenate(slot) & np.uint64(SLOTS - 1)).astype(np.int64), np.concatenate(own)
 
 
 def bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -61,7 +64,12 @@ def bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, int]]:
     doc = w.doc[first[:-1]] if sentence.size else np.zeros(0, int)
     lo, hi = np.searchsorted(doc, np.arange(w.n)), np.searchsorted(doc, np.arange(w.n), "right")
     a, b = np.searchsorted(own, lo), np.searchsorted(own, hi)
-    return [(slot[a[i] : b[i]], own[a[i] : b[i]] - lo[i], int(hi[i] - lo[i])) for i in range(w.n)]
+    return [(slot[a[i] : b[i]].astype(np.int32), (own[a[i] : b[i]] - lo[i]).astype(np.int32), int(hi[i] - lo[i])) for i in range(w.n)]
+
+
+def weights_of(z: np.ndarray, n: np.ndarray, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
+    """Proximal weights, none below zero: a word may speak for toxicity, but none excuses another."""
+    return np.maximum(0.0, -z - l1) / ((beta + np.sqrt(n)) / alpha + l2)
 
 
 def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> np.ndarray:
@@ -74,7 +82,7 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS, alpha: float = A
             if not size:
                 continue
             at, back = np.unique(slot, return_inverse=True)
-            w = np.where(np.abs(z[at]) <= l1, 0.0, -(z[at] - np.sign(z[at]) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
+            w = weights_of(z[at], n[at], alpha, beta, l1, l2)
             p = sigmoid(np.bincount(own, weights=w[back], minlength=size) + PRIOR)
             clean = np.exp(np.log1p(-p).sum())
             pull = -p * clean / max(1 - clean, 1e-9) if y[i] else p
@@ -82,15 +90,15 @@ def train(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS, alpha: float = A
             more = n[at] + g * g
             z[at] += g - (np.sqrt(more) - np.sqrt(n[at])) / alpha * w
             n[at] = more
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    return np.append(w, PRIOR)
+    return np.append(weights_of(z, n, alpha, beta, l1, l2), PRIOR)
 
 
 def score(weights: np.ndarray, column: pa.Array, threshold: float = THRESHOLD) -> dict[str, pa.Array]:
     """The document's noisy-or score, and the byte spans of sentences at or over the threshold."""
     w, sentence, slot, own = slots(column)
     number = int(sentence[-1]) + 1 if sentence.size else 0
-    key = np.unique(own * SLOTS + slot)
+    live = np.flatnonzero(weights[slot])
+    key = np.unique(own[live] * SLOTS + slot[live])
     p = sigmoid(np.bincount(key // SLOTS, weights=weights[:-1][key % SLOTS], minlength=number) + weights[-1])
     first = np.searchsorted(sentence, np.arange(number))
     last = np.searchsorted(sentence, np.arange(number), "right") - 1
