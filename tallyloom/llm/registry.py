@@ -19,7 +19,9 @@ QUERIES = {
 }
 #: The others rest on trained models, seeded draws, dynamic programming, or verdicts that SQL cannot give on whole tables.
 SQL = {
+    "op1_repetition_rules": repetition.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_suffix_dedup": suffix_dedup.OP7_SQL,
 }

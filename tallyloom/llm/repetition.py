@@ -107,3 +107,32 @@ def repetition_rules(docs: DataFrame, lengths: tuple[int, ...] = tuple(NGRAM_LIM
 
 def op1_repetition_rules(spark, sf_dir: str) -> DataFrame:
     return repetition_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+g AS (
+  SELECT n, doc_id, i, array_to_string(ws[i:i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w, (VALUES (3), (5), (7), (10)) v(n) WHERE len(ws) >= n)
+),
+twice AS (SELECT n, doc_id, i FROM (SELECT n, doc_id, i, count(*) OVER (PARTITION BY n, doc_id, win) AS c FROM g) WHERE c > 1),
+pos AS (SELECT DISTINCT n, doc_id, unnest(range(i, i + n)) AS p FROM twice),
+cov AS (SELECT n, doc_id, count(*) AS words, sum(length(ws[p])) AS chars FROM pos JOIN w USING (doc_id) GROUP BY n, doc_id),
+shares AS (
+  SELECT doc_id, max(words) FILTER (n = 5) AS w5, max(chars) FILTER (n = 3) AS c3, max(chars) FILTER (n = 5) AS c5, max(chars) FILTER (n = 7) AS c7, max(chars) FILTER (n = 10) AS c10 FROM cov GROUP BY doc_id
+),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS nth FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+dup AS (SELECT doc_id, count(*) AS n_dup, sum(strlen(line)) AS size FROM l WHERE nth > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(w5, 0)::BIGINT AS n_repeat_words, coalesce(size, 0)::DOUBLE / greatest(strlen(t), 1) AS dup_line_share, c3, c5, c7, c10
+  FROM w LEFT JOIN shares USING (doc_id) LEFT JOIN dup USING (doc_id)
+),
+s AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, dup_line_share,
+    coalesce(c3, 0)::DOUBLE / greatest(word_chars, 1) AS dup_3gram_share, coalesce(c5, 0)::DOUBLE / greatest(word_chars, 1) AS dup_5gram_share, coalesce(c7, 0)::DOUBLE / greatest(word_chars, 1) AS dup_7gram_share, coalesce(c10, 0)::DOUBLE / greatest(word_chars, 1) AS dup_10gram_share
+  FROM m
+)
+SELECT *, NOT base_failed AND dup_line_share <= 0.3 AND n_symbols <= 0.3::DOUBLE * n_words AND dup_3gram_share <= 0.6 AND dup_5gram_share <= 0.3 AND dup_7gram_share <= 0.28 AND dup_10gram_share <= 0.26 AS kept FROM s
+"""
