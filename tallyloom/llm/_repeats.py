@@ -232,7 +232,7 @@ class Search:
     texts, items, marks)`` turns a piece and its marked windows' starts into a table.
     """
 
-    def __init__(self, items: Callable[[Bytes], Items], n: int, k: int, settle: Callable | None, piece: int = 2 << 20, many: int = MANY_CONTEXTS):
+    def __init__(self, items: Callable[[Bytes], Items], n: int, k: int, settle: Callable | None, piece: int = 1 << 19, many: int = MANY_CONTEXTS):
         self.items, self.n, self.k, self.settle, self.piece, self.many = items, n, k, settle, piece, many
 
     def contexts(self, table: pa.Table, buckets: int):

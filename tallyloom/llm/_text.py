@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 WHITESPACE = b" \t\n\x0b\x0c\r"
 #: Texts are worked on in pieces of about this many bytes, which bounds a worker's arrays.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 #: Stands for a null doc_id where ids are compared: after every other document.
 LAST_ID = np.int64(2**63 - 1)
 

@@ -77,9 +77,24 @@ def suffix_dedup(docs: DataFrame, n: int = BYTES) -> DataFrame:
     than any other; rows that share a doc_id never remove each other's bytes; a text of fewer
     than ``n`` bytes stays as it is. Spans may cut a character in two, hence ``kept`` is binary.
     """
-    return Search(byte_items, n, min(ANCHOR, n), settle, piece=1 << 19).run(docs, _builder(n), _SCHEMA, _ARROW)
+    return Search(byte_items, n, min(ANCHOR, n), settle).run(docs, _builder(n), _SCHEMA, _ARROW)
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, substring(h, 2 * i - 1, 100) AS win FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS i FROM d WHERE length(h) >= 100)),
+f AS (SELECT win, min(doc_id) AS first_doc FROM g GROUP BY win),
+hit AS (SELECT doc_id, i FROM g JOIN f USING (win) WHERE first_doc < doc_id),
+run AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM hit),
+span AS (SELECT doc_id, min(i) AS lo, max(i) + 49 AS hi FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM run) GROUP BY doc_id, k),
+keep AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM span),
+left_over AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo + 1) AS n_removed, max(hi) AS last, string_agg(substring(h, 2 * before + 1, 2 * (lo - before - 1)), '' ORDER BY lo) AS kept FROM keep JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN kept IS NULL AND last IS NULL THEN h ELSE coalesce(kept, '') || substring(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""
