@@ -52,13 +52,13 @@ def events_builds(spark, d) -> tuple[DataFrame, list[plans.Build]]:
 
 
 @query("s1_build_facts", ORDERS, """
-SELECT 'split' AS scope, split_id AS number, min(event_seq) AS first_seq, max(event_seq) AS last_seq, count(*) AS n_rows, sum(is_fraud)::BIGINT AS n_frauds FROM fact GROUP BY split_id
-UNION ALL SELECT 'fold', causal_fold, min(event_seq), max(event_seq), count(*), sum(is_fraud)::BIGINT FROM fact WHERE split_id = 0 GROUP BY causal_fold""")
+SELECT 'split' AS scope, split_id::INT AS number, min(event_seq) AS first_seq, max(event_seq) AS last_seq, count(*) AS n_rows, sum(is_fraud)::BIGINT AS n_frauds FROM fact GROUP BY split_id
+UNION ALL SELECT 'fold', causal_fold::INT, min(event_seq), max(event_seq), count(*), sum(is_fraud)::BIGINT FROM fact WHERE split_id = 0 GROUP BY causal_fold""")
 def s1(spark, d):
     return plans.build_facts(domain.orders_fact(spark, d))
 
 
-@query("s2_fact_page", ORDERS, "SELECT event_seq, unix_time, card, merchant, category, amount, is_fraud, use_chip, split_id, causal_fold FROM fact WHERE event_seq >= 1001 AND event_seq < 3001")
+@query("s2_fact_page", ORDERS, "SELECT event_seq, unix_time, card, merchant, category, amount, is_fraud, use_chip, split_id, causal_fold::INT AS causal_fold FROM fact WHERE event_seq >= 1001 AND event_seq < 3001")
 def s2(spark, d):
     return matrix.fact_page(domain.orders_fact(spark, d), 1001, 3001).drop("transaction_id")
 
@@ -929,3 +929,21 @@ def ga9m(spark, d):
     edges = ga10m(spark, d)
     seen = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().count()
     return graph.fastrp(edges, seen, dim=8).select("v", F.posexplode("embedding").alias("d", "x")).select("v", F.col("d").cast("long").alias("d"), "x")
+
+
+@query("n12_stream_velocity", [*EVENTS, VELOCITY_SQL], """
+SELECT card, event_seq, false AS late, coalesce(gap, -1) AS row_card_gap_seconds, coalesce(pair_gap, -1) AS row_pair_gap_seconds, n1 AS row_card_txn_count_1h, n24 AS row_card_txn_count_24h, a24::DOUBLE AS row_card_amount_24h, tenure AS row_card_tenure_seconds, pairs AS row_pair_txn_count FROM v""")
+def n12(spark, d):
+    """The keyed stream over the events, run to its end, against the batch windows."""
+    import uuid
+
+    from .operators.components import shared_dir
+    from .streaming.velocity import stream_velocity
+
+    shared_dir(spark)
+    home = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    rows = domain.events_fact(spark, d).select("event_seq", "card", "merchant", "unix_time", "amount")
+    rows.write.parquet(f"{home}/in")
+    made = stream_velocity(spark.readStream.schema(rows.schema).parquet(f"{home}/in"))
+    made.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{home}/out")
