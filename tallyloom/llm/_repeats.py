@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LAST_ID, Bytes, as_bytes, gram_hash, ids, mix, slice_hash, sliding_argmin, texts, within, word_hash, words_of
+from ._text import LAST_ID, Bytes, as_bytes, gram_hash, ids, long_hash, mix, slice_hash, sliding_argmin, texts, within, word_hash, words_of
 
 #: Anchors with more distinct contexts than this deal their windows out by window hash.
 MANY_CONTEXTS = 1024
@@ -94,7 +94,7 @@ def line_items(b: Bytes) -> Items:
     start = np.empty_like(end)
     start[1:] = end[:-1] + 1
     start[first[:-1]] = b.off[:-1]
-    return Items(b, doc, first, start, end, slice_hash(b, start, end))
+    return Items(b, doc, first, start, end, long_hash(b, start, end))
 
 
 # -- packing ---------------------------------------------------------------

@@ -123,6 +123,17 @@ def slice_hash(b: Bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -> n
         left, at = left[more] - 8, at[more] + 8
 
 
+def long_hash(b: Bytes, start: np.ndarray, end: np.ndarray, block: int = 256) -> np.ndarray:
+    """As ``slice_hash`` for slices of any length: blocks are hashed side by side and summed under their number."""
+    size = end - start
+    count = np.maximum(1, -(-size // block))
+    head = np.cumsum(count) - count
+    nth = np.arange(count.sum()) - np.repeat(head, count)
+    lo = np.repeat(start, count) + block * nth
+    parts = mix(slice_hash(b, lo, np.minimum(lo + block, np.repeat(end, count))) + nth.astype(np.uint64) * _A)
+    return mix(np.add.reduceat(parts, head) ^ size.astype(np.uint64)) if size.size else parts
+
+
 def word_hash(w: Words, seed: int = 0) -> np.ndarray:
     return slice_hash(w, w.start, w.end, seed)
 

@@ -50,7 +50,7 @@ def line_dedup(docs: DataFrame, n: int = LINES) -> DataFrame:
     rows that share a doc_id are not held against each other; a text of fewer than ``n`` lines
     stays as it is. Windows are judged on the input, not on what is left.
     """
-    return Search(line_items, n, n, None).run(docs, _builder(n), _SCHEMA, _ARROW)
+    return Search(line_items, n, n, None, piece=2 << 20).run(docs, _builder(n), _SCHEMA, _ARROW)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
