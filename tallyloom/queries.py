@@ -39,12 +39,12 @@ def query(name: str, ctes: list[str] | None = None, body: str | None = None):
 
 
 def orders_builds(spark, d) -> tuple[DataFrame, list[plans.Build]]:
-    fact = settle_state(domain.orders_fact(spark, d))
+    fact = domain.orders_fact(spark, d)
     return fact, plans.default_builds(fact)
 
 
 def events_builds(spark, d) -> tuple[DataFrame, list[plans.Build]]:
-    fact = settle_state(domain.events_fact(spark, d))
+    fact = domain.events_fact(spark, d)
     return fact, plans.default_builds(fact)
 
 
@@ -585,7 +585,8 @@ def h1(spark, d):
 
 def routed(spark, d) -> DataFrame:
     """The routed, joined matrix over orders: card, merchant and category aggregates of the serving build."""
-    fact, b = orders_builds(spark, d)
+    fact = settle_state(domain.orders_fact(spark, d))
+    b = plans.default_builds(fact)
     shops = agg.transaction_stats(fact, "merchant", b)
     assigned = domain.table(spark, d, "supplier").select(F.col("s_suppkey").alias("merchant"), F.col("s_nationkey").cast("long").alias("category"))
     dims = {"card_": (agg.transaction_stats(fact, "card", b), ["card"]), "mer_": (shops, ["merchant"]), "cat_": (agg.category_stats(shops, assigned), ["category"])}
