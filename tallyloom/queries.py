@@ -23,7 +23,7 @@ SQL: dict[str, str] = {}
 
 ORDERS = [domain.ORDERS_SQL, domain.SPLITS_SQL]
 EVENTS = [domain.EVENTS_SQL, domain.SPLITS_SQL]
-#: Cutoff of the identity and graph queries, in event_seq.
+#: Cutoff of the identity and graph queries that have SQL, in event_seq (theirs names it too). Graph queries without SQL take all events.
 CUTOFF = 6001
 MIN_TXN = 2
 
@@ -311,10 +311,11 @@ seen AS (SELECT DISTINCT card AS v FROM e UNION ALL SELECT DISTINCT merchant + {
 EVENT_GRAPH = [domain.EVENTS_SQL, GRAPH_EDGES_SQL]
 
 
-def interactions(spark, d) -> DataFrame:
-    """Interaction edges of the events under CUTOFF."""
-    build = plans.Build("g", CUTOFF, CUTOFF, CUTOFF + 1, 0)
-    return settle_table(agg.interaction_edges(domain.events_fact(spark, d), [build]))
+def interactions(spark, d, whole: bool = False) -> DataFrame:
+    """Interaction edges of the events under CUTOFF, or of all events."""
+    fact = domain.events_fact(spark, d)
+    end = plans.resolve_cutoff("end_of_data", plans.collect_facts(plans.build_facts(fact))) if whole else CUTOFF
+    return settle_table(agg.interaction_edges(fact, [plans.Build("g", end, end, end + 1, 0)]))
 
 
 def seen_vertices(edges: DataFrame) -> DataFrame:
@@ -359,6 +360,11 @@ def card_edges(spark, d, least: int = 2) -> DataFrame:
     return settle_table(ga10c(spark, d).where(F.col("weight") >= least))
 
 
+def whole_projection(spark, d, over: str, least: int = 1) -> DataFrame:
+    """Projected edges of all events, of weight ``least`` or more."""
+    return settle_table(graph.project(interactions(spark, d, whole=True), over, least, min_txn_count=MIN_TXN))
+
+
 @query("ga2_wcc_card", [*EVENT_GRAPH, f"pr AS ({projection_sql('merchant')}), bi2 AS (SELECT * FROM pr WHERE weight >= 2)", WCC_SQL.replace("FROM bi", "FROM bi2")], "SELECT v, c_id FROM comp")
 def ga2(spark, d):
     edges = card_edges(spark, d)
@@ -367,7 +373,7 @@ def ga2(spark, d):
 
 @query("ga3_wcc_card_hierarchical")
 def ga3(spark, d):
-    edges = card_edges(spark, d, 1)
+    edges = whole_projection(spark, d, "merchant")
     return graph.wcc_hierarchical(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct(), edges, high=4, low=1, levels=3)
 
 
@@ -394,17 +400,17 @@ def ga5(spark, d):
 
 @query("ga6_louvain_bipartite")
 def ga6(spark, d):
-    return graph.louvain(graph.bipartite(interactions(spark, d), MIN_TXN), max_iteration=5, alternate=True)[0]
+    return graph.louvain(graph.bipartite(interactions(spark, d, whole=True), MIN_TXN), max_iteration=5, alternate=True)[0]
 
 
 @query("ga7_louvain_card")
 def ga7(spark, d):
-    return graph.louvain(card_edges(spark, d), max_iteration=5)[0]
+    return graph.louvain(whole_projection(spark, d, "merchant", 2), max_iteration=5)[0]
 
 
 @query("ga8_kcore_card")
 def ga8(spark, d):
-    return graph.kcore(card_edges(spark, d, 3))
+    return graph.kcore(whole_projection(spark, d, "merchant", 3))
 
 
 def fastrp_sql(dim: int) -> str:
@@ -916,12 +922,12 @@ def ga5m(spark, d):
 
 @query("ga7_louvain_merchant")
 def ga7m(spark, d):
-    return graph.louvain(ga10m(spark, d), max_iteration=3)[0]
+    return graph.louvain(whole_projection(spark, d, "card"), max_iteration=3)[0]
 
 
 @query("ga8_kcore_merchant")
 def ga8m(spark, d):
-    return graph.kcore(ga10m(spark, d).where("weight >= 3"), max_core=10)
+    return graph.kcore(whole_projection(spark, d, "card", 3), max_core=10)
 
 
 @query("ga9_fastrp_merchant", [*EVENT_GRAPH, f"bi3 AS ({projection_sql('card')}), lw AS (SELECT a AS v, b AS u FROM bi3 UNION ALL SELECT b, a FROM bi3)", fastrp_sql(8)], """
