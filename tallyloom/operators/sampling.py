@@ -32,19 +32,23 @@ def neighbours_before(seeds: DataFrame, edges: DataFrame, cap: int, strategy: st
 
     ``recent`` takes the last ones (ties: larger dst); ``uniform`` draws min(available, cap)
     with replacement from a hash of the draw. Returned edges point to the seed's node and carry
-    ``seed_time``, the time found neighbours inherit.
+    ``seed_time``, the time found neighbours inherit. Edges are numbered per node by time; one sort
+    of edges and seeds together counts the earlier ones, and neighbours are looked up by number, so
+    no seed meets all edges of its node.
     """
-    joined = seeds.select("seed_id", "node", F.col("time").alias("seed_time")).join(edges.select(F.col("src").alias("node"), "dst", F.col("time").alias("edge_time")), "node").where(F.col("edge_time") < F.col("seed_time"))
-    w = Window.partitionBy("seed_id", "node").orderBy(F.desc("edge_time"), F.desc("dst"))
-    ranked = joined.withColumn("nth", F.row_number().over(w))
-    if strategy == "recent":
-        return ranked.where(F.col("nth") <= cap).select("seed_id", "node", "seed_time", "dst", "edge_time", "nth")
-    if strategy != "uniform":
+    if strategy not in ("recent", "uniform"):
         raise ValueError(f"unknown strategy {strategy}")
-    count = joined.groupBy("seed_id", "node").agg(F.count(F.lit(1)).alias("n"))
-    draws = count.select("seed_id", "node", "n", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(cap)).cast("int"))).alias("draw"))
-    draws = draws.select("seed_id", "node", "draw", (F.pmod(F.xxhash64("seed_id", "node", "draw", F.lit(seed)), F.col("n")) + 1).cast("int").alias("nth"))
-    return draws.join(ranked, ["seed_id", "node", "nth"]).select("seed_id", "node", "seed_time", "dst", "edge_time", F.col("draw").alias("nth"))
+    order = Window.partitionBy("node").orderBy("edge_time", "dst")
+    numbered = settle_table(edges.where("src IS NOT NULL AND time IS NOT NULL").select(F.col("src").alias("node"), "dst", F.col("time").alias("edge_time")).withColumn("at", F.row_number().over(order).cast("long")))
+    both = seeds.where("node IS NOT NULL AND time IS NOT NULL").select("node", "seed_id", F.col("time").alias("seed_time"), F.lit(0).alias("edge")).unionByName(
+        numbered.select("node", F.col("edge_time").alias("seed_time"), F.lit(1).alias("edge")), allowMissingColumns=True
+    )
+    # At equal times seeds come first: an edge counts only for later seeds.
+    before = Window.partitionBy("node").orderBy("seed_time", "edge").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = both.withColumn("n", F.sum("edge").over(before)).where("edge = 0 AND n > 0")
+    asked = asked.select("seed_id", "node", "seed_time", "n", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(cap)).cast("int"))).alias("nth"))
+    back = F.col("nth") if strategy == "recent" else F.pmod(F.xxhash64("seed_id", "node", "nth", F.lit(seed)), F.col("n")) + 1
+    return asked.withColumn("at", F.col("n") - back + 1).join(numbered, ["node", "at"]).select("seed_id", "node", "seed_time", "dst", "edge_time", "nth")
 
 
 def sample_hops(seeds: DataFrame, edges: DataFrame, caps: tuple[int, ...] = (10, 5), strategy: str = "recent", seed: int = 0) -> DataFrame:

@@ -678,14 +678,14 @@ def sampler_edges(fact: DataFrame) -> DataFrame:
 @query("n3_two_hop_sample")
 def n3b(spark, d):
     fact = domain.events_fact(spark, d)
-    seeds = fact.where("event_seq % 500 = 0").select(F.col("event_seq").alias("seed_id"), F.col("card").alias("node"), F.col("event_seq").alias("time"))
+    seeds = fact.select(F.col("event_seq").alias("seed_id"), F.col("card").alias("node"), F.col("event_seq").alias("time"))
     return sampling.sample_hops(seeds, sampler_edges(fact), (5, 3))
 
 
 @query("n3_uniform_sample_leaks", None, "SELECT 0::BIGINT AS future_edges_MUST_BE_ZERO")
 def n3u(spark, d):
     fact = domain.events_fact(spark, d)
-    seeds = fact.where("event_seq % 500 = 0").select(F.col("event_seq").alias("seed_id"), F.col("card").alias("node"), F.col("event_seq").alias("time"))
+    seeds = fact.select(F.col("event_seq").alias("seed_id"), F.col("card").alias("node"), F.col("event_seq").alias("time"))
     return sampling.leaks(sampling.sample_hops(seeds, sampler_edges(fact), (5, 3), "uniform"))
 
 

@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from tallyloom import queries
-from tallyloom.operators import graph
+from tallyloom.operators import graph, sampling
 
 EARLY, LATE = set(range(60)), set(range(500, 520))
 EARLY_SHOPS, LATE_SHOPS = set(range(10, 60)), set(range(5))
@@ -38,3 +38,27 @@ def test_merchants_of_all_events(spark, folder, name):
 
 def test_bipartite_of_all_events(spark, folder):
     assert vertices(spark, folder, "ga6_louvain_bipartite") == EARLY | LATE | {graph.MERCHANT_BASE + m for m in EARLY_SHOPS | LATE_SHOPS}
+
+
+def test_every_event_is_a_seed(spark, folder, monkeypatch):
+    first = {}
+    for r in queries.domain.events_fact(spark, folder).select("card", "event_seq").collect():
+        first[r["card"]] = min(first.get(r["card"], r["event_seq"]), r["event_seq"])
+    got = queries.QUERIES["n3_two_hop_sample"](spark, folder).where("hop = 1").select("seed_id").distinct().collect()
+    assert {r["seed_id"] for r in got} == set(range(1, 6401)) - set(first.values())
+    seeds, sample = [], sampling.sample_hops
+    monkeypatch.setattr(sampling, "sample_hops", lambda s, *a: seeds.append(s.count()) or sample(s, *a))
+    assert queries.QUERIES["n3_uniform_sample_leaks"](spark, folder).first()[0] == 0
+    assert seeds == [6400]
+
+
+def test_neighbours_before_against_brute_force(spark):
+    edges = [(i % 3, i * 7 % 5, i // 4) for i in range(60)]
+    seeds = [(s, s % 4, s) for s in range(20)]
+    frames = spark.createDataFrame(seeds, "seed_id long, node long, time long"), spark.createDataFrame(edges, "src long, dst long, time long")
+    past = {s: sorted(((t, d) for n, d, t in edges if n == node and t < time), reverse=True) for s, node, time in seeds}
+    got = sampling.neighbours_before(*frames, 4).collect()
+    assert sorted((r["seed_id"], r["nth"], r["edge_time"], r["dst"]) for r in got) == sorted((s, i, *e) for s, p in past.items() for i, e in enumerate(p[:4], 1))
+    drawn = sampling.neighbours_before(*frames, 4, "uniform").collect()
+    assert sorted((r["seed_id"], r["nth"]) for r in drawn) == sorted((s, i) for s, p in past.items() for i in range(1, min(4, len(p)) + 1))
+    assert all((r["edge_time"], r["dst"]) in past[r["seed_id"]] for r in drawn)
