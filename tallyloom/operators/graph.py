@@ -129,20 +129,21 @@ def louvain(edges: DataFrame, max_iteration: int = 20, alternate: bool = False)
     return state.join(sizes, "c").select("v", F.col("c").alias("louvain_id"), "louvain_size"), {"iterations": rounds, "modularity": quality}
 
 
-def kcore(edges: DataFrame, max_core: int = 50) -> DataFrame:
-    """(v, core_number), at most ``max_core``. Vertices without an edge are not in the result.
+def kcore(edges: DataFrame, max_core: int | None = 50) -> DataFrame:
+    """(v, core_number), at most ``max_core`` (None: no bound). Vertices without an edge are not in the result.
 
     Instead of peeling shell by shell, every vertex starts from its degree and takes the largest
     k such that k of its neighbours hold k or more, until nothing changes: the fixed point is the
-    core number, in few rounds. Neighbours are counted per level, never listed.
+    core number, in few rounds. Neighbours are counted per level that they hold, never listed.
     """
     links = settle_state(both_ways(edges).select("v", "u"))
-    state = settle_state(links.groupBy("v").agg(F.least(F.count(F.lit(1)), F.lit(max_core)).alias("c")))
-    levels = range(1, max_core + 1)
+    degree = F.count(F.lit(1))
+    state = settle_state(links.groupBy("v").agg((degree if max_core is None else F.least(degree, F.lit(max_core))).alias("c")))
+    down = Window.partitionBy("v").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     while True:
-        held = links.join(state.withColumnRenamed("v", "u"), "u").groupBy("v").agg(*[F.count_if(F.col("c") >= k).alias(f"n{k}") for k in levels])
-        best = F.greatest(*[F.when(F.col(f"n{k}") >= k, k).otherwise(0) for k in levels]) if max_core > 1 else F.least(F.col("n1"), F.lit(1))
-        both = settle_state(held.select("v", best.cast("long").alias("to")).join(state, "v").select("v", F.least("to", "c").alias("c"), (F.col("to") < F.col("c")).alias("moved")))
+        held = links.join(state.withColumnRenamed("v", "u"), "u").groupBy("v", "c").agg(F.count(F.lit(1)).alias("n"))
+        best = held.select("v", F.least("c", F.sum("n").over(down)).alias("to")).groupBy("v").agg(F.max("to").cast("long").alias("to"))
+        both = settle_state(best.join(state, "v").select("v", F.least("to", "c").alias("c"), (F.col("to") < F.col("c")).alias("moved")))
         state = both.select("v", "c")
         if not both.where("moved").limit(1).count():
             return state.select("v", F.col("c").cast("int").alias("core_number"))

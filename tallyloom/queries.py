@@ -360,9 +360,9 @@ def card_edges(spark, d, least: int = 2) -> DataFrame:
     return settle_table(ga10c(spark, d).where(F.col("weight") >= least))
 
 
-def whole_projection(spark, d, over: str, least: int = 1) -> DataFrame:
-    """Projected edges of all events, of weight ``least`` or more."""
-    return settle_table(graph.project(interactions(spark, d, whole=True), over, least, min_txn_count=MIN_TXN))
+def whole_projection(spark, d, over: str) -> DataFrame:
+    """Projected edges of all events."""
+    return settle_table(graph.project(interactions(spark, d, whole=True), over, min_txn_count=MIN_TXN))
 
 
 @query("ga2_wcc_card", [*EVENT_GRAPH, f"pr AS ({projection_sql('merchant')}), bi2 AS (SELECT * FROM pr WHERE weight >= 2)", WCC_SQL.replace("FROM bi", "FROM bi2")], "SELECT v, c_id FROM comp")
@@ -400,17 +400,17 @@ def ga5(spark, d):
 
 @query("ga6_louvain_bipartite")
 def ga6(spark, d):
-    return graph.louvain(graph.bipartite(interactions(spark, d, whole=True), MIN_TXN), max_iteration=5, alternate=True)[0]
+    return graph.louvain(graph.bipartite(interactions(spark, d, whole=True)), alternate=True)[0]
 
 
 @query("ga7_louvain_card")
 def ga7(spark, d):
-    return graph.louvain(whole_projection(spark, d, "merchant", 2), max_iteration=5)[0]
+    return graph.louvain(whole_projection(spark, d, "merchant"))[0]
 
 
 @query("ga8_kcore_card")
 def ga8(spark, d):
-    return graph.kcore(whole_projection(spark, d, "merchant", 3))
+    return graph.kcore(whole_projection(spark, d, "merchant"), max_core=None)
 
 
 def fastrp_sql(dim: int) -> str:
@@ -742,12 +742,12 @@ def m7(spark, d):
 
 @query("m8_bootstrap_interval")
 def m8(spark, d):
-    return metrics.bootstrap_interval(scored(spark, d), "event_seq", rounds=20)
+    return metrics.bootstrap_interval(scored(spark, d), "event_seq")
 
 
 @query("m9_paired_bootstrap")
 def m9(spark, d):
-    return metrics.paired_bootstrap(scored(spark, d), "event_seq", "score", "other", rounds=20)
+    return metrics.paired_bootstrap(scored(spark, d), "event_seq", "score", "other")
 
 
 @query("m1_check_splits", ORDERS, "SELECT 0::BIGINT AS missing_splits_MUST_BE_ZERO, 0::BIGINT AS one_class_splits_MUST_BE_ZERO, 0 AS overlapping_splits_MUST_BE_ZERO")
@@ -922,12 +922,12 @@ def ga5m(spark, d):
 
 @query("ga7_louvain_merchant")
 def ga7m(spark, d):
-    return graph.louvain(whole_projection(spark, d, "card"), max_iteration=3)[0]
+    return graph.louvain(whole_projection(spark, d, "card"))[0]
 
 
 @query("ga8_kcore_merchant")
 def ga8m(spark, d):
-    return graph.kcore(whole_projection(spark, d, "card", 3), max_core=10)
+    return graph.kcore(whole_projection(spark, d, "card"), max_core=None)
 
 
 @query("ga9_fastrp_merchant", [*EVENT_GRAPH, f"bi3 AS ({projection_sql('card')}), lw AS (SELECT a AS v, b AS u FROM bi3 UNION ALL SELECT b, a FROM bi3)", fastrp_sql(8)], """

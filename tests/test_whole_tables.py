@@ -62,3 +62,27 @@ def test_neighbours_before_against_brute_force(spark):
     drawn = sampling.neighbours_before(*frames, 4, "uniform").collect()
     assert sorted((r["seed_id"], r["nth"]) for r in drawn) == sorted((s, i) for s, p in past.items() for i in range(1, min(4, len(p)) + 1))
     assert all((r["edge_time"], r["dst"]) in past[r["seed_id"]] for r in drawn)
+
+
+def test_core_numbers_have_no_bound(spark, folder):
+    got = dict(queries.QUERIES["ga8_kcore_card"](spark, folder).collect())
+    assert got == {**dict.fromkeys(EARLY, 59), **dict.fromkeys(LATE, 19)}
+    got = dict(queries.QUERIES["ga8_kcore_merchant"](spark, folder).collect())
+    assert got == {**dict.fromkeys(EARLY_SHOPS, 49), **dict.fromkeys(LATE_SHOPS, 4)}
+
+
+@pytest.mark.parametrize("name", ["ga6_louvain_bipartite", "ga7_louvain_card", "ga7_louvain_merchant"])
+def test_louvain_has_its_default_rounds(spark, folder, monkeypatch, name):
+    asked, louvain = [], graph.louvain
+    monkeypatch.setattr(graph, "louvain", lambda edges, max_iteration=20, **k: asked.append(max_iteration) or louvain(edges, max_iteration, **k))
+    assert queries.QUERIES[name](spark, folder).count() > 0
+    assert asked == [20]
+
+
+@pytest.mark.parametrize("name", ["bootstrap_interval", "paired_bootstrap"])
+def test_bootstraps_have_their_default_rounds(monkeypatch, name):
+    asked = []
+    monkeypatch.setattr(queries, "scored", lambda spark, d: None)
+    monkeypatch.setattr(queries.metrics, name, lambda *a, **k: asked.append(k))
+    queries.QUERIES["m8_bootstrap_interval" if name == "bootstrap_interval" else "m9_paired_bootstrap"](None, "")
+    assert asked == [{}]
