@@ -12,6 +12,7 @@ Cells give spanning links only, never all pairs; components then join the links.
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,6 +208,19 @@ def links(prints: DataFrame, count: int, bits: int = BITS) -> DataFrame:
     return found.where("tile IS NULL").select("a", "b").unionByName(tiles)
 
 
+def _grouped(docs: DataFrame, bits: int, n: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp, component_id and root, the component's least fingerprint."""
+    if bits != BITS:
+        raise ValueError("the grid is laid out for 4 bits")
+    rows = settle_table(fingerprints(docs, n))
+    prints = settle_table(rows.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("size")))
+    roots = settle_table(components(links(prints, prints.count(), bits)))
+    own = settle_table(prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "doc", "size", F.coalesce("root", "fp").alias("root")))
+    tops = own.groupBy("root").agg(F.min("doc").alias("component_id"))
+    named = settle_table(own.join(settle_table(tops), "root").select("fp", "size", "component_id", "root"))
+    return look_up(rows, named, "fp", "size", rows.count()).select("doc_id", "fp", "component_id", "root")
+
+
 def near_groups(docs: DataFrame, bits: int = BITS, n: int = SHINGLE) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id.
 
@@ -215,26 +229,34 @@ def near_groups(docs: DataFrame, bits: int = BITS, n: int = SHINGLE) -> DataFram
     blank text has fingerprint zero and is linked like any other; fewer than ``n`` words
     make one shingle. Reads ``doc_id`` and ``text`` only.
     """
-    if bits != BITS:
-        raise ValueError("the grid is laid out for 4 bits")
-    rows = settle_table(fingerprints(docs, n))
-    prints = settle_table(rows.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("size")))
-    roots = settle_table(components(links(prints, prints.count(), bits)))
-    own = settle_table(prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "doc", "size", F.coalesce("root", "fp").alias("root")))
-    tops = own.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = settle_table(own.join(settle_table(tops), "root").select("fp", "size", "component_id"))
-    return look_up(rows, named, "fp", "size", rows.count()).select("doc_id", "fp", "component_id")
+    return _grouped(docs, bits, n).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = BITS, n: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, all columns as they are.
 
-    Rows without a doc_id stay only where their whole component has none. Rows that repeat a
-    staying doc_id stay, too.
+    Rows without a doc_id stay only where their whole component has none, and then one of
+    them. Rows that repeat their component's smallest doc_id stay, too. A row goes by its doc_id
+    and fingerprint, so rows of other components that share its doc_id, or have none, are left.
     """
-    groups = near_groups(docs, bits, n)
-    gone = settle_table(groups.where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+
+    @F.arrow_udf("long")
+    def print_of(text: pa.Array) -> pa.Array:
+        pieces = text_pieces(pa.record_batch([text], names=["text"]))
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *(fingerprint(p.column("text"), n).view(np.int64) for p in pieces)]))
+
+    lost = F.when(F.col("component_id").isNull(), F.col("fp") != F.col("root")).otherwise(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    tag = f"_{uuid.uuid4().hex[:8]}"
+    gone = settle_table(_grouped(docs, bits, n).where(lost).select(F.col("doc_id").alias(f"id{tag}"), F.col("fp").alias(f"gone{tag}")).distinct())
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(f"row{tag}"))
+    row, doc = F.col(f"row{tag}"), F.col(f"row{tag}.doc_id").cast("long")
+    fp = print_of(F.col(f"row{tag}.text").cast("string")).alias(f"fp{tag}")
+    same = F.col(f"fp{tag}") == F.col(f"gone{tag}")
+    known = whole.where(doc.isNotNull()).select(row, fp).join(gone, (doc == F.col(f"id{tag}")) & same, "left_anti")
+    # What is left of the others is of components without any id, by their least fingerprint.
+    others = whole.where(doc.isNull()).select(row, fp).join(gone.where(f"id{tag} IS NULL"), same, "left_anti")
+    one = others.groupBy(f"fp{tag}").agg(F.first(row).alias(f"row{tag}"))
+    return known.select(row).unionByName(one.select(row)).select(f"row{tag}.*")
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
