@@ -62,14 +62,14 @@ class Items:
     def grams(self, k: int) -> np.ndarray:
         if self.h is not None:
             return gram_hash(self.h, k)
-        lanes, m = self.b.lanes(), self.doc.size
+        lanes, m = self.b.lanes(), max(0, self.doc.size - k + 1)
         out = np.zeros(m, np.uint64)
         for at in [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]:
             out ^= lanes[at : at + m]
             out *= _ODD
             out ^= out >> _SHIFT
         out *= _ODD
-        return out[: max(0, m - k + 1)]
+        return out
 
 
 def byte_items(b: Bytes) -> Items:
@@ -224,6 +224,11 @@ def runs(*keys: np.ndarray) -> np.ndarray:
 # -- the search ------------------------------------------------------------
 
 
+def anchor_size(n: int, least: int) -> int:
+    """Items of an anchor: ``least`` or more, so that a context's n - k + 1 windows fit a mask of 64 bits."""
+    return max(min(least, n), n - 63)
+
+
 class Search:
     """The three exchanges for windows of ``n`` items with anchors of ``k`` items.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import Search, id_column, pair, word_items
+from ._repeats import Search, anchor_size, id_column, pair, word_items
 from ._text import covered, per_text, within
 
 WORDS = 13
@@ -68,7 +68,7 @@ def substring_dedup(docs: DataFrame, n: int = WORDS) -> DataFrame:
     remove each other's words; a text of fewer than ``n`` words stays as it is. ``source`` is a
     document that has the factor's words (null where window answers came from several).
     """
-    return Search(word_items, n, min(ANCHOR, n), settle).run(docs, _builder(n), _SCHEMA, _ARROW)
+    return Search(word_items, n, anchor_size(n, ANCHOR), settle).run(docs, _builder(n), _SCHEMA, _ARROW)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

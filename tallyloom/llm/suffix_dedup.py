@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import Search, byte_items, id_column, runs
+from ._repeats import Search, anchor_size, byte_items, id_column, runs
 from ._text import _LANE_MASK, covered, per_text
 
 BYTES = 50
@@ -77,7 +77,7 @@ def suffix_dedup(docs: DataFrame, n: int = BYTES) -> DataFrame:
     than any other; rows that share a doc_id never remove each other's bytes; a text of fewer
     than ``n`` bytes stays as it is. Spans may cut a character in two, hence ``kept`` is binary.
     """
-    return Search(byte_items, n, min(ANCHOR, n), settle).run(docs, _builder(n), _SCHEMA, _ARROW)
+    return Search(byte_items, n, anchor_size(n, ANCHOR), settle).run(docs, _builder(n), _SCHEMA, _ARROW)
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tallyloom.llm import simhash
+from tallyloom.llm import simhash, substring_dedup, suffix_dedup
 
 
 def texts(seed, n):
@@ -33,3 +33,19 @@ def test_a_shared_id_goes_with_its_own_component_only(spark):
 def test_a_component_without_ids_keeps_one_row(spark):
     a, b = texts(3, 2)
     assert kept(spark, [(None, a, "a"), (None, a.upper(), "a"), (None, a + " ", "a"), (None, b, "b")]) == [(True, 0, "a"), (True, 0, "b")]
+
+
+@pytest.mark.parametrize("n", [70, 71, 84, 100, 150])
+def test_long_windows(spark, n):
+    """Repeats of n + 3 items amid fresh ones go whole, whatever n."""
+    r = random.Random(n)
+    fresh = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    words, letters = [], []
+    for i in range(8):
+        same, text = [fresh(6) for _ in range(n + 3)], fresh(n + 3)
+        for k, mark in ((2 * i, "A"), (2 * i + 1, "B")):
+            words.append((k, " ".join([*(fresh(7) for _ in range(2 * n)), *same, *(fresh(7) for _ in range(2 * n))])))
+            letters.append((k, fresh(2 * n) + mark + text + mark + fresh(2 * n)))
+    want = {k: n + 3 if k % 2 else 0 for k in range(16)}
+    for dedup, rows in ((substring_dedup.substring_dedup, words), (suffix_dedup.suffix_dedup, letters)):
+        assert dict(dedup(spark.createDataFrame(rows, "doc_id long, text string"), n).select("doc_id", "n_removed").collect()) == want
