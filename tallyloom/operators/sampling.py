@@ -78,7 +78,8 @@ def random_negatives(positives: DataFrame, merchants: int, rounds: int = 12, see
     """For each positive (card, merchant: dense ids) its card with a merchant it never met: (row, card, merchant, negative).
 
     A hash of (row, round) draws; a row whose draw meets one of the card's merchants draws again.
-    After ``rounds`` rounds the remaining rows have no negative (null), which callers count.
+    After ``rounds`` rounds the remaining rows draw from their cards' free merchants; only a card
+    that met every merchant has no negative (null), which callers count.
     """
     pairs = positives.select("card", F.col("merchant").alias("negative")).distinct()
     left, out = positives.select("row", "card", "merchant"), None
@@ -89,7 +90,11 @@ def random_negatives(positives: DataFrame, merchants: int, rounds: int = 12, see
         left = settle_table(left.join(good.select("row"), "row", "left_anti"))
         if not left.limit(1).count():
             break
-    return out.unionByName(left.withColumn("negative", F.lit(None).cast("long"))).select("row", "card", "merchant", "negative")
+    every = left.select("card").distinct().select("card", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(merchants - 1).cast("long"))).alias("negative"))
+    free = every.join(pairs, ["card", "negative"], "left_anti").withColumn("at", F.row_number().over(Window.partitionBy("card").orderBy("negative")) - 1)
+    free = settle_table(free.select("card", "negative", F.col("at").cast("long").alias("at")))
+    asked = left.join(free.groupBy("card").agg(F.count(F.lit(1)).alias("n")), "card", "left").withColumn("at", F.pmod(F.xxhash64("row", F.lit(rounds), F.lit(seed)), F.col("n")))
+    return out.unionByName(asked.join(free, ["card", "at"], "left").select("row", "card", "merchant", "negative")).select("row", "card", "merchant", "negative")
 
 
 def historical_negatives(positives: DataFrame, pool: DataFrame, seed: int = 0) -> DataFrame:

@@ -695,8 +695,9 @@ def positives(spark, d) -> DataFrame:
 
 @query("n5_random_negatives_check", None, "SELECT 0::BIGINT AS collisions_MUST_BE_ZERO, 0::BIGINT AS without_negative")
 def n5(spark, d):
-    p = positives(spark, d)
-    return sampling.collisions(sampling.random_negatives(p, 5000), p)
+    shops = settle_table(sampling.dense_ids(domain.events_fact(spark, d), "merchant"))
+    p = sampling.map_ids(positives(spark, d), "merchant", shops, "merchant", "idx").select("row", "card", F.col("idx").alias("merchant"))
+    return sampling.collisions(sampling.random_negatives(p, shops.count()), p)
 
 
 @query("n5_historical_negatives_check", None, "SELECT 0::BIGINT AS collisions_MUST_BE_ZERO, 0::BIGINT AS without_negative")

@@ -86,3 +86,19 @@ def test_bootstraps_have_their_default_rounds(monkeypatch, name):
     monkeypatch.setattr(queries.metrics, name, lambda *a, **k: asked.append(k))
     queries.QUERIES["m8_bootstrap_interval" if name == "bootstrap_interval" else "m9_paired_bootstrap"](None, "")
     assert asked == [{}]
+
+
+def test_negatives_are_real_merchants(spark, folder, monkeypatch):
+    drawn, draw = [], sampling.random_negatives
+    monkeypatch.setattr(sampling, "random_negatives", lambda *a: drawn.append(draw(*a)) or drawn[-1])
+    assert tuple(queries.QUERIES["n5_random_negatives_check"](spark, folder).first()) == (0, 0)
+    assert {r["negative"] for r in drawn[0].select("negative").distinct().collect()} <= set(range(len(EARLY_SHOPS | LATE_SHOPS)))
+
+
+def test_only_a_card_that_met_all_has_no_negative(spark):
+    pairs = [(0, m) for m in range(200) if m != 77] + [(1, m) for m in range(200)] + [(2, 5)]
+    positives = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "row long, card long, merchant long")
+    got = [(r["card"], r["negative"]) for r in sampling.random_negatives(positives, 200).collect()]
+    assert len(got) == len(pairs)
+    assert {n for c, n in got if c == 0} == {77} and {n for c, n in got if c == 1} == {None}
+    assert all(0 <= n < 200 and n != 5 for c, n in got if c == 2)
