@@ -4,7 +4,7 @@ Pass one sets each text's bit and learns which bits were set more than once. Onl
 bit was ("possibly repeated") take part in the shuffle of pass two; all others pass straight
 through. The filter has some 16 bits a row, cut into segments that are merged apart, so no
 task sees all of it. Up to ``BROADCAST_BYTES`` the repeated bits go to the tasks as a
-broadcast; beyond that, rows look their hash up in a shuffle of 16-byte rows.
+broadcast; beyond that there is no filter, and all rows are shuffled by their hash.
 """
 
 from __future__ import annotations
@@ -68,7 +68,10 @@ def repeated_bits(hashes: DataFrame, segments: int) -> DataFrame:
 
 
 def possibly_repeated(rows: DataFrame, hashes: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """``rows`` (with a hash ``h``) and the column ``maybe``, false only where no other of ``hashes``, the rows' own, is the same."""
+    """``rows`` (with a hash ``h``) and the column ``maybe``, false only where no other of ``hashes``, the rows' own, is the same.
+
+    Bits beyond ``broadcast_bytes`` are not built: repeated hashes are joined, which shuffles all of ``rows``.
+    """
     n_rows = hashes.count()
     segments = max(1, -(-n_rows * BITS_A_ROW // SEGMENT_BITS))
     if segments * SEGMENT_BITS // 8 > broadcast_bytes:
@@ -114,7 +117,8 @@ def exact_groups(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Dat
 def drop_copies(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are; exactly one of each group.
 
-    Rows whose hash the filter has only once are never shuffled. Of the others, whole rows meet
+    Rows whose hash the filter has only once are never shuffled; beyond ``broadcast_bytes`` of bits
+    there is no filter, and every whole row is shuffled by its hash once. Of the others, whole rows meet
     by a hash of their text, one row of each group and task at most (the aggregation starts
     before the shuffle). Column names may be anything: the row travels as one struct.
     """
