@@ -1,100 +1,53 @@
 """Windows of n items (words, bytes, lines) that also start in a document with a smaller doc_id.
 
 A window's *anchor* is its least k-gram, so equal windows pick equal anchors. The consecutive
-windows that share one anchor occurrence form a *context*. Three exchanges settle every window:
-
-1. every chunk of documents sends (anchor, context hash, least doc_id), once for each distinct
-   pair, to the anchor's bucket, which answers with the least doc_id of each repeated context;
-2. contexts whose anchor also stands in other contexts may share some windows only: the first
-   document of each sends its text to the anchor's bucket (or, where an anchor has very many
-   contexts, its window hashes to the windows' buckets), and a ``settle`` function answers
-   with the windows that start in an earlier document;
-3. every chunk marks its windows from the answers.
-
-Groups are pre-aggregated in each chunk, so a passage that stands in a third of all documents
-costs one entry per chunk. No list of partners is ever built. The documents are shuffled once,
-packed and compressed; the same exchange feeds all three passes.
+windows that share one anchor occurrence form a *context*. Documents are shuffled once into
+chunks, packed and compressed; the same exchange feeds the three passes of ``search``:
+
+1. every chunk sends its distinct anchors (six bytes each) to the anchors' buckets, which
+   answer with one bit per anchor: does it stand in another document, and a second one: is it hot;
+2. the contexts of repeated anchors go, as text, to the anchors' buckets, once for each distinct
+   context of a chunk; a ``settle`` function compares the contexts of an anchor and answers for
+   each occurrence what it found in documents with a smaller doc_id;
+3. every chunk builds its rows from the answers.
+
+A hot anchor's contexts are cut in two, each part under a longer anchor, so that common phrases
+spread over many buckets. A passage that stands in every document costs one entry per chunk;
+chunks grow with the square root of the text. No list of partners is ever built.
+
+Memory: a task holds a chunk (``MOST_CHUNK_BYTES`` or its longest text) and some four times that
+in masks and copies; anchors are searched in segments, so nothing of eight bytes per byte of text is built.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import LAST_ID, Bytes, as_bytes, gram_hash, ids, long_hash, mix, slice_hash, sliding_argmin, texts, within, word_hash, words_of
-
-#: Anchors with more distinct contexts than this deal their windows out by window hash.
-MANY_CONTEXTS = 1024
-#: Text behind a chunk, and the range of text behind a bucket.
-CHUNK_BYTES = 1 << 20
-LEAST_BUCKET_BYTES, MOST_BUCKET_BYTES = 2 << 20, 16 << 20
-PACK_BYTES = 48 << 20
-_ODD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
-_ROW = "key long, chunk long, part long, payload binary"
-_SCHEMA = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("part", pa.int64()), ("payload", pa.binary())])
-
-
-# -- items -----------------------------------------------------------------
-
-
-class Items:
-    """Items of a piece: ``doc`` of each, ``first`` item of each text, byte ``start``/``end`` of each."""
-
-    def __init__(self, b: Bytes, doc, first, start, end, h=None):
-        self.b, self.doc, self.first, self.start, self.end, self.h = b, doc, first, start, end, h
-
-    def ranges(self, i: np.ndarray, j: np.ndarray, seed: int) -> np.ndarray:
-        """Hashes of items i..j-1."""
-        if self.h is None:
-            return slice_hash(self.b, i, j, seed)
-        out, live, size = mix((j - i).astype(np.uint64) + np.uint64(seed)), np.arange(i.size), j - i
-        for step in range(int(size.max(initial=0))):
-            live = live[size[live] > step]
-            out[live] = mix(out[live] ^ self.h[i[live] + step])
-        return out
-
-    def grams(self, k: int) -> np.ndarray:
-        if self.h is not None:
-            return gram_hash(self.h, k)
-        lanes, m = self.b.lanes(), max(0, self.doc.size - k + 1)
-        out = np.zeros(m, np.uint64)
-        for at in [*range(0, k - 7, 8), *([k - 8] if k % 8 else [])]:
-            out ^= lanes[at : at + m]
-            out *= _ODD
-            out ^= out >> _SHIFT
-        out *= _ODD
-        return out
-
-
-def byte_items(b: Bytes) -> Items:
-    size = int(b.off[-1])
-    at = np.arange(size)
-    return Items(b, np.repeat(np.arange(b.n), np.diff(b.off)), b.off, at, at + 1)
-
-
-def word_items(b: Bytes) -> Items:
-    w = words_of(b)
-    return Items(w, w.doc, w.first, w.start, w.end, word_hash(w))
-
-
-def line_items(b: Bytes) -> Items:
-    """Lines between newlines; the last line of a text may be empty."""
-    size = int(b.off[-1])
-    breaks = np.flatnonzero(b.buf[:size] == 10)
-    per = np.searchsorted(breaks, b.off)
-    first = per + np.arange(b.n + 1)
-    end = np.sort(np.concatenate([breaks, b.off[1:]]), kind="stable")
-    doc = np.repeat(np.arange(b.n), np.diff(first))
-    start = np.empty_like(end)
-    start[1:] = end[:-1] + 1
-    start[first[:-1]] = b.off[:-1]
-    return Items(b, doc, first, start, end, long_hash(b, start, end))
+from ._text import _LANE_MASK, LAST_ID, WHITESPACE, Bytes, as_bytes, gram_hash, ids, long_hash, mix, slice_hash, sliding_argmin, texts, within
+
+#: Text behind a chunk: some 32 times the square root of all text, within these bounds.
+LEAST_CHUNK_BYTES, MOST_CHUNK_BYTES = 1 << 20, 16 << 20
+#: Text behind a bucket.
+LEAST_BUCKET_BYTES, MOST_BUCKET_BYTES = 2 << 20, 8 << 20
+PACK_BYTES = 32 << 20
+#: Windows looked at in one go.
+SEGMENT = 1 << 17
+#: Anchors that stand in about this many places, or more, have their contexts cut in two.
+HOT = 2048
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Anchors are told apart by the bits above these.
+_PLACE = np.uint64((1 << 20) - 1)
+_ROW = "key long, chunk long, payload binary"
+_SCHEMA = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary())])
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(WHITESPACE)] = True
 
 
 # -- packing ---------------------------------------------------------------
@@ -104,12 +57,34 @@ def sizing(docs: DataFrame) -> tuple[int, int]:
     """Numbers of chunks and buckets. They follow the text, so that a chunk sends each bucket many entries in one row."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, math.ceil(size / CHUNK_BYTES)), max(1, min(2 * parts, math.ceil(size / LEAST_BUCKET_BYTES)), math.ceil(size / MOST_BUCKET_BYTES))
+    chunk = min(MOST_CHUNK_BYTES, max(LEAST_CHUNK_BYTES, 32 * math.isqrt(size)))
+    return max(1, math.ceil(size / chunk)), max(1, min(2 * parts, math.ceil(size / LEAST_BUCKET_BYTES)), math.ceil(size / MOST_BUCKET_BYTES))
 
 
-def pack(docs: DataFrame, chunks: int) -> DataFrame:
-    """Documents as compressed blobs (chunk, blob); a document's chunk follows from its doc_id (from its text where that is null)."""
-    codec = "zstd"
+def joined_words(b: Bytes) -> Bytes:
+    """The texts' words joined by single spaces."""
+    size = int(b.off[-1])
+    solid = ~_IS_SPACE[b.buf[:size]]
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]  # the first whitespace after a word stands for all of it
+    some = b.off[:-1] < b.off[1:]
+    opens = b.off[:-1][some]
+    keep[opens] = solid[opens]
+    # No space after a text's last word.
+    counts = np.add.reduceat(keep.view(np.uint8), opens, dtype=np.int64) if opens.size else np.zeros(0, np.int64)
+    flat, last = np.where(solid, b.buf[:size], np.uint8(32))[keep], np.cumsum(counts) - 1
+    spare = np.flatnonzero(counts > 0)
+    spare = spare[flat[last[spare]] == 32]
+    flat = np.delete(flat, last[spare])
+    counts[spare] -= 1
+    per = np.zeros(b.n, np.int64)
+    per[some] = counts
+    off = np.concatenate([[0], np.cumsum(per)])
+    return Bytes(np.concatenate([flat, np.zeros(32, np.uint8)]), off)
+
+
+def pack(docs: DataFrame, chunks: int, words: bool) -> DataFrame:
+    """Documents as compressed blobs (chunk, raw, rows, blob); a document's chunk follows from its doc_id (from its text where that is null)."""
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
@@ -117,15 +92,17 @@ def pack(docs: DataFrame, chunks: int) -> DataFrame:
         code = who.view(np.uint64).copy()
         if (lost := np.flatnonzero(who == LAST_ID)).size:
             b = as_bytes(column.take(pa.array(lost)))
-            code[lost] = slice_hash(b, b.off[:-1], b.off[1:])
+            code[lost] = long_hash(b, b.off[:-1], b.off[1:])
         chunk = (mix(code) % np.uint64(chunks)).astype(np.int64)
         order = np.argsort(chunk, kind="stable")
         b, who, chunk = as_bytes(column.take(pa.array(order))), who[order], chunk[order]
+        if words:
+            b = joined_words(b)
         cuts = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1))
         blobs, sizes = [], []
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             raw = who[i:j].tobytes() + np.diff(b.off[i : j + 1]).tobytes() + b.buf[b.off[i] : b.off[j]].tobytes()
-            blobs.append(pa.compress(raw, codec=codec, asbytes=True))
+            blobs.append(pa.compress(raw, codec="zstd", asbytes=True))
             sizes.append((len(raw), j - i))
         raw, rows = np.array(sizes, np.int64).reshape(-1, 2).T
         yield pa.record_batch([pa.array(chunk[cuts[:-1]]), pa.array(raw), pa.array(rows), pa.array(blobs, pa.binary())], names=["chunk", "raw", "rows", "blob"])
@@ -145,31 +122,102 @@ def pack(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "chunk long, raw long, rows long, blob binary")
 
 
-def unpack(table: pa.Table, limit: int) -> Iterator[tuple[np.ndarray, Bytes]]:
-    """Pieces (doc_ids, texts) of about ``limit`` bytes."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
+@dataclass
+class Chunk:
+    """Texts in order of doc_id. ``first`` has each text's first item and their number; ``start``/``end`` are the items' bytes (None: items are bytes)."""
+
+    who: np.ndarray
+    b: Bytes
+    first: np.ndarray
+    start: np.ndarray | None = None
+    end: np.ndarray | None = None
+    h: np.ndarray = field(default=None)
+
+    @property
+    def size(self) -> int:
+        return int(self.first[-1])
+
+    def slices(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of items i..j-1."""
+        return (i, j) if self.start is None else (self.start[i], self.end[j - 1])
+
+    def grams(self, at: int, to: int, k: int) -> np.ndarray:
+        """Hashes of the k-grams from items at..to-1 on."""
+        if self.h is not None:
+            return gram_hash(self.h[at : to + k - 1], k)
+        lanes, m = self.b.lanes(), to - at
+        out = lanes[at : at + m] * _A
+        for i, by in zip([*range(8, k - 7, 8), *([k - 8] if k % 8 and k > 8 else [])], (_B, _C, _A ^ _B, _A ^ _C, _B ^ _C, _A, _B, _C)):
+            out += (lanes[at + i : at + i + m] ^ out >> np.uint64(32)) * by
+        return out
+
+    def doc(self, item: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, item, "right") - 1
+
+    def doc_of_sorted(self, item: np.ndarray) -> np.ndarray:
+        """The same for items in order."""
+        if not item.size:
+            return item
+        lo, hi = self.doc(item[[0, -1]]).tolist()
+        return np.repeat(np.arange(lo, hi + 1), np.diff(np.searchsorted(item, self.first[lo + 1 : hi + 1]), prepend=0, append=item.size))
 
-    def out() -> tuple[np.ndarray, Bytes]:
-        who, lens, data = (np.concatenate(x) for x in zip(*held))
-        off = np.zeros(lens.size + 1, np.int64)
-        np.cumsum(lens, out=off[1:])
-        return who, Bytes(np.concatenate([data, np.zeros(32, np.uint8)]), off)
 
+def unpacked(table: pa.Table, items: Callable[[np.ndarray, Bytes], Chunk]) -> Chunk:
+    """A chunk, its texts in order of doc_id (equal ones by their hash), whatever order its rows came in."""
+    who, lens, data = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for raw, n, blob in zip(table.column("raw").to_pylist(), table.column("rows").to_pylist(), table.column("blob")):
-        data = np.frombuffer(pa.decompress(blob.as_buffer(), decompressed_size=raw, codec="zstd"), np.uint8)
-        who, lens, data = data[: 8 * n].view(np.int64), data[8 * n : 16 * n].view(np.int64), data[16 * n :]
-        at, total = 0, np.concatenate([[0], np.cumsum(lens)])
-        while at < n:
-            to = min(n, max(at + 1, int(np.searchsorted(total, total[at] + max(limit - size, 1), "right")) - 1))
-            held.append((who[at:to], lens[at:to], data[total[at] : total[to]]))
-            size += int(total[to] - total[at])
-            at = to
-            if size >= limit:
-                yield out()
-                held, size = [], 0
-    if held:
-        yield out()
+        flat = np.frombuffer(pa.decompress(blob.as_buffer(), decompressed_size=raw, codec="zstd"), np.uint8)
+        who.append(flat[: 8 * n].view(np.int64))
+        lens.append(flat[8 * n : 16 * n].view(np.int64))
+        data.append(flat[16 * n :])
+    who, lens = np.concatenate(who), np.concatenate(lens)
+    off = np.concatenate([[0], np.cumsum(lens)])
+    flat = np.concatenate([*data, np.zeros(32, np.uint8)])
+    del data
+    order = np.argsort(who, kind="stable")
+    tied = np.zeros(who.size, bool)
+    tied[1:] = who[order][1:] == who[order][:-1]
+    tied[:-1] |= tied[1:]
+    if tied.any():
+        some = order[tied]
+        tie = np.zeros(who.size, np.uint64)
+        tie[some] = long_hash(Bytes(flat, off), off[some], off[some + 1])
+        order = np.lexsort((tie, who))
+    buf = np.concatenate([*(flat[off[i] : off[i + 1]] for i in order.tolist()), np.zeros(32, np.uint8)])
+    return items(who[order], Bytes(buf, np.concatenate([[0], np.cumsum(lens[order])])))
+
+
+def bytes_of(who: np.ndarray, b: Bytes) -> Chunk:
+    return Chunk(who, b, b.off)
+
+
+def words_in(b: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of joined texts, and the first word of each text."""
+    gaps, some = np.flatnonzero(b.buf[: b.off[-1]] == 32), b.off[:-1] < b.off[1:]
+    start, end = np.sort(np.concatenate([gaps + 1, b.off[:-1][some]])), np.sort(np.concatenate([gaps, b.off[1:][some]]))
+    return start, end, np.searchsorted(start, b.off)
+
+
+def words_of_chunk(who: np.ndarray, b: Bytes) -> Chunk:
+    start, end, first = words_in(b)
+    return Chunk(who, b, first, start, end, hashed(b, start, end, 0))
+
+
+def lines_of(who: np.ndarray, b: Bytes) -> Chunk:
+    """Lines between newlines; the last line of a text may be empty."""
+    breaks = np.flatnonzero(b.buf[: b.off[-1]] == 10)
+    first = np.searchsorted(breaks, b.off) + np.arange(b.n + 1)
+    end = np.sort(np.concatenate([breaks, b.off[1:]]), kind="stable")
+    start = np.empty_like(end)
+    start[1:] = end[:-1] + 1
+    start[first[:-1]] = b.off[:-1]
+    return Chunk(who, b, first, start, end)
+
+
+def hashed(b: Bytes, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of byte slices, some at a time."""
+    step = 1 << 16
+    return np.concatenate([np.zeros(0, np.uint64), *(slice_hash(b, start[i : i + step], end[i : i + step], seed) for i in range(0, start.size, step))])
 
 
 # -- payloads --------------------------------------------------------------
@@ -201,9 +249,13 @@ def long(base: np.ndarray, gap: np.ndarray) -> np.ndarray:
     return base[0] + gap.astype(np.int64)
 
 
-def rows(found: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    key, chunk, part, payload = zip(*found) if found else ((), (), (), ())
-    return pa.table([pa.array(key, pa.int64()), pa.array(chunk, pa.int64()), pa.array(part, pa.int64()), pa.array(payload, pa.binary())], schema=_SCHEMA)
+def rows(found: list[tuple[int, int, bytes]]) -> pa.Table:
+    key, chunk, payload = zip(*found) if found else ((), (), ())
+    return pa.table([pa.array(key, pa.int64()), pa.array(chunk, pa.int64()), pa.array(payload, pa.binary())], schema=_SCHEMA)
+
+
+def columns(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*parts)]
 
 
 def split(by: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -221,6 +273,44 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def spread(size: np.ndarray) -> np.ndarray:
+    """0..size-1 for each size, one after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def gather(b: Bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes of the slices, joined."""
+    size = end - start
+    return b.buf[np.repeat(start, size) + spread(size)]
+
+
+def same_bytes(b: Bytes, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from x and from y on are the same."""
+    lanes, same = b.lanes(), np.ones(x.size, bool)
+    live, at = np.arange(x.size), 0
+    while live.size:
+        left = size[live] - at
+        same[live] &= (lanes[x[live] + at] ^ lanes[y[live] + at]) & _LANE_MASK[np.minimum(left, 8)] == 0
+        live, at = live[same[live] & (left > 8)], at + 8
+    return same
+
+
+def equal_slices(b: Bytes, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by 44 bits of ``key`` that brings equal slices of a key together, and where each new one begins in it."""
+    size = end - start
+    code = key & ~_PLACE | hashed(b, start, end, 11) >> np.uint64(44)
+    order = np.argsort(code)
+    new = runs(code[order])
+    head = np.flatnonzero(new)
+    rest = np.flatnonzero(~new)
+    if rest.size:
+        to = order[head][np.cumsum(new)[rest] - 1]
+        own = order[rest]
+        # Unequal bytes under equal hashes make groups of their own; equal ones kept apart that way only cost work.
+        new[rest[(size[own] != size[to]) | ~same_bytes(b, start[own], start[to], size[own])]] = True
+    return order, new
+
+
 # -- the search ------------------------------------------------------------
 
 
@@ -229,234 +319,267 @@ def anchor_size(n: int, least: int) -> int:
     return max(min(least, n), n - 63)
 
 
-class Search:
-    """The three exchanges for windows of ``n`` items with anchors of ``k`` items.
-
-    ``items`` views a piece, ``settle(blobs of contexts, doc of each, n)`` returns for each
-    context a bit mask of its windows that also start in a smaller doc. ``build(doc_ids,
-    texts, items, marks)`` turns a piece and its marked windows' starts into a table.
-    """
-
-    def __init__(self, items: Callable[[Bytes], Items], n: int, k: int, settle: Callable | None, piece: int = 1 << 19, many: int = MANY_CONTEXTS):
-        self.items, self.n, self.k, self.settle, self.piece, self.many = items, n, k, settle, piece, many
-
-    def contexts(self, table: pa.Table, buckets: int):
-        """Pieces with their contexts, and all distinct contexts of the chunk by bucket."""
-        seen, all_ = [], []
-        for who, b in unpack(table, self.piece):
-            it = self.items(b)
-            ok = within(it.doc, self.n)
-            grams = it.grams(self.k)
-            at = sliding_argmin(grams, self.n - self.k + 1)[: ok.size] if ok.size else np.zeros(0, np.int32)
-            p = np.flatnonzero(ok)
-            a = at[p]
-            cut = np.flatnonzero(runs(a, it.doc[p]))
-            p0, p1 = p[cut], p[np.append(cut[1:], p.size) - 1] if p.size else p[cut]
-            anchor, ctx = mix(grams[a[cut]]) if p.size else np.zeros(0, np.uint64), it.ranges(p0, p1 + self.n, 11)
-            doc = who[it.doc[p0]]
-            seen.append((who, b, p0, p1, anchor, ctx, doc))
-            all_.append((anchor, ctx, doc))
-        anchor, ctx, doc = (np.concatenate(x) for x in zip(*all_)) if all_ else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(anchor)
-        # Only anchors that repeat in the chunk need the order of their contexts.
-        same = anchor[order[1:]] == anchor[order[:-1]]
-        member = np.zeros(order.size, bool)
-        member[1:] |= same
-        member[:-1] |= same
-        some = order[member]
-        order[member] = some[np.lexsort((doc[some], ctx[some], anchor[some]))]
-        anchor, ctx, doc = anchor[order], ctx[order], doc[order]
-        bucket = ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        new = runs(anchor, ctx)
+def contexts(c: Chunk, n: int, k: int, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window, anchor item, anchor hash and text of every context of the chunk, in order."""
+    found, last = [], c.size - n + 1
+    for s in range(0, max(last, 0), segment):
+        e = min(s + segment, last)
+        grams = c.grams(s, e + n - k, k)
+        at = sliding_argmin(grams, n - k + 1)
+        lo, hi = np.searchsorted(c.first, (s - n, e + n))
+        seams = c.first[lo:hi]
+        seams = np.sort(np.concatenate([seams, seams - n + 1]))
+        seams = np.concatenate([[s], seams[(seams > s) & (seams < e)]])
+        p0 = s + 1 + np.flatnonzero(at[1:] != at[:-1])
+        p0 = np.insert(p0, np.searchsorted(p0, seams), seams)
+        p0 = p0[runs(p0)]
+        p1 = np.append(p0[1:], e) - 1
+        doc = c.doc_of_sorted(p0)
+        inside = np.flatnonzero(p0 + n <= c.first[doc + 1])
+        p0, p1 = p0[inside], p1[inside]
+        a = at[p0 - s]
+        found.append((p0, p1, a + s, mix(grams[a]), doc[inside]))
+    return tuple(columns(found)) if found else (*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def ask(c: Chunk, n: int, k: int, buckets: int, chunk: int, segment: int) -> pa.Table:
+    """The chunk's distinct anchors: 44 bits, whether in several documents, and the logarithm of the number of places."""
+    *_, h, doc = contexts(c, n, k, segment)
+    order, h, head, count = by_anchor(h)
+    several = c.who[doc[order[head]]] != c.who[doc[order[head + count - 1]]]
+    note = (np.log2(np.maximum(count, 1)).astype(np.uint8) << 1 | several).astype(np.uint8)
+    h = h[head]
+    return rows([(key, chunk, dump((h[s] >> np.uint64(32)).astype(np.uint32), (h[s] >> np.uint64(16)).astype(np.uint16), note[s])) for key, s in split(bucket_of(h, buckets))])
+
+
+def by_anchor(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts in order of 44 bits of their anchor hash: the order, the hashes, and the first and number of each anchor's."""
+    if h.size <= 1 << 20:
+        # One sort of integers, the place in the bits below.
+        h = h & ~_PLACE | np.arange(h.size, dtype=np.uint64)
+        h.sort()
+        order, h = (h & _PLACE).astype(np.int64), h & ~_PLACE
+    else:
+        h = h & ~_PLACE
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+    head = np.flatnonzero(runs(h))
+    return order, h, head, np.diff(np.append(head, h.size))
+
+
+def answer(key: int, table: pa.Table, many: int) -> pa.Table:
+    """Two bits for each anchor that a chunk sent: it stands in several documents; it is hot."""
+    parts = [load(x.as_py()) for x in table.column("payload")]
+    size = np.array([p[0].size for p in parts])
+    high, low, note = columns(parts)
+    bits = max(20, int(size.sum()).bit_length())
+    # One sort of integers: a hash of the anchor above, the place below. Anchors that share the hash by chance only cost work.
+    code = mix(high.astype(np.uint64) << np.uint64(16) | low) >> np.uint64(bits) << np.uint64(bits) | np.arange(high.size, dtype=np.uint64)
+    code.sort()
+    place = (code & np.uint64((1 << bits) - 1)).astype(np.int64)
+    head = np.flatnonzero(runs(code >> np.uint64(bits)))
+    count = np.diff(np.append(head, code.size))
+    note = note[place]
+    repeated = (count > 1) | np.logical_or.reduceat(note & 1 > 0, head)
+    hot = np.add.reduceat(np.int64(1) << (note >> 1).astype(np.int64), head) >= many
+    flags = np.zeros((2, place.size), bool)
+    flags[0, place], flags[1, place] = np.repeat(repeated, count), np.repeat(hot & repeated, count)
+    off = np.concatenate([[0], np.cumsum(size)])
+    return rows([(key, c, dump(np.packbits(flags[:, i:j], axis=1).ravel())) for c, i, j in zip(table.column("chunk").to_pylist(), off[:-1].tolist(), off[1:].tolist()) if flags[0, i:j].any()])
+
+
+def detail(c: Chunk, replies: pa.Table, n: int, k: int, buckets: int, chunk: int, segment: int) -> pa.Table:
+    """The contexts of repeated anchors, as text, each distinct one once, with the places where they stand."""
+    p0, p1, a, h, _ = contexts(c, n, k, segment)
+    order, h, head, count = by_anchor(h)
+    flags = np.zeros((2, head.size), bool)
+    begin = {key: s for key, s in split(bucket_of(h[head], buckets))}
+    for key, blob in zip(replies.column("key").to_pylist(), replies.column("payload")):
+        s = begin[key]
+        flags[:, s] = np.unpackbits(load(blob.as_py())[0].reshape(2, -1), axis=1, count=s.stop - s.start)
+    pick = np.repeat(flags[0], count)
+    own, h, hot = order[pick], h[pick], np.repeat(flags[1], count)[pick]
+    p0, p1, a = p0[own], p1[own], a[own]
+    if hot.any() and n > k:
+        # Windows that reach far to the left of the anchor go under a longer anchor there, the others to the right.
+        cut = a[hot] - (n - k + 1) // 2
+        x0, x1, at = p0[hot], p1[hot], a[hot]
+        left, right = x0 <= cut, x1 > cut
+        cool = ~hot
+        longer = hashed(c.b, *c.slices(np.concatenate([cut[left], at[right]]), np.concatenate([at[left] + k, cut[right] + n + 1])), 13)
+        p0, p1 = np.concatenate([p0[cool], x0[left], np.maximum(x0, cut + 1)[right]]), np.concatenate([p1[cool], np.minimum(x1, cut)[left], x1[right]])
+        h = np.concatenate([h[cool], longer & ~_PLACE])
+    start, end = c.slices(p0, p1 + n)
+    order, new = equal_slices(c.b, start, end, h)
+    p0, h, start, end = p0[order], h[order], start[order], end[order]
+    head, doc = np.flatnonzero(new), c.doc(p0)
+    to = bucket_of(h[head], buckets)
+    ends, found = np.append(head[1:], new.size), []
+    for key, s in split(to):
+        own = slice(int(head[s.start]), int(ends[s.stop - 1]))
+        at = head[s]
+        found.append((key, chunk, dump(h[at], (end[at] - start[at]).astype(np.uint32), (ends[s] - at).astype(np.uint32), gather(c.b, start[at], end[at]), *short(c.who[doc[own]]), p0[own].astype(np.uint32), (p0[own] - c.first[doc[own]]).astype(np.uint32))))
+    return rows(found)
+
+
+@dataclass
+class Found:
+    """Contexts in a bucket. Group g has the text ``start[g]:end[g]`` and stands first at ``pos`` of document ``least``; ``family`` is its anchor."""
+
+    b: Bytes
+    start: np.ndarray
+    end: np.ndarray
+    family: np.ndarray
+    least: np.ndarray
+    pos: np.ndarray
+
+
+def settled(key: int, table: pa.Table, settle: Callable) -> pa.Table:
+    """``settle(found, group, doc, place)`` says for each occurrence what to answer: (occurrence, arrays)."""
+    parts = [load(x.as_py()) for x in table.column("payload")]
+    h, size, count, text, doc, place, pos = columns([(p[0], p[1], p[2], p[3], long(p[4], p[5]), p[6], p[7]) for p in parts])
+    chunk = np.repeat(table.column("chunk").to_numpy(), [p[6].size for p in parts])
+    end = np.cumsum(size, dtype=np.int64)
+    start, b = end - size, Bytes(np.concatenate([text, np.zeros(32, np.uint8)]), np.zeros(1, np.int64))
+    order, new = equal_slices(b, start, end, h)
+    group = np.empty(h.size, np.int64)
+    group[order] = np.cumsum(new) - 1
+    rep = order[new]
+    group = np.repeat(group, count)
+    least, first = np.full(rep.size, LAST_ID), np.full(rep.size, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, doc)
+    own = np.flatnonzero(doc == least[group])
+    np.minimum.at(first, group[own], pos[own].astype(np.int64))
+    found = Found(b, start[rep], end[rep], np.cumsum(runs(h[rep])) - 1 if rep.size else rep, least, first)
+    own, arrays = settle(found, group, doc, pos)
+    order = np.argsort(chunk[own], kind="stable")
+    own, arrays = own[order], [x[order] for x in arrays]
+    return rows([(key, c, dump(place[own[s]], *(x[s] for x in arrays))) for c, s in split(chunk[own])])
+
+
+def mixed(found: Found) -> np.ndarray:
+    """Groups whose anchor has other contexts, too."""
+    return np.flatnonzero(np.bincount(found.family)[found.family] > 1) if found.family.size else found.family
+
+
+def family_slices(found: Found, some: np.ndarray, size: np.ndarray, limit: int = 1 << 17) -> Iterator[np.ndarray]:
+    """``some`` groups, cut between families into parts of about ``limit`` windows."""
+    total, at = np.cumsum(size), 0
+    heads = np.append(np.flatnonzero(runs(found.family[some])), some.size) if some.size else np.zeros(1, int)
+    while at < some.size:
+        done = total[at - 1] if at else 0
+        to = heads[np.searchsorted(heads, np.searchsorted(total, done + limit), "right") - 1]
+        to = int(to if to > at else heads[np.searchsorted(heads, at, "right")])
+        yield some[at:to]
+        at = to
+
+
+def search(docs: DataFrame, words: bool, n: int, k: int, settle: Callable, build: Callable, schema: str, out_schema: pa.Schema, hot: int = HOT, segment: int = SEGMENT) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text), as ``build(chunk, answers)`` makes it from what ``settle`` answers."""
+    chunks, buckets = sizing(docs)
+    packed, items = pack(docs, chunks, words), words_of_chunk if words else bytes_of
+
+    def first(key, table):
+        return ask(unpacked(table, items), n, k, buckets, key[0].as_py(), segment)
+
+    def second(key, table):
+        return answer(key[0].as_py(), table, hot)
+
+    def third(key, table, replies):
+        return detail(unpacked(table, items), replies, n, k, buckets, key[0].as_py(), segment) if replies.num_rows else _SCHEMA.empty_table()
+
+    def fourth(key, table):
+        return settled(key[0].as_py(), table, settle)
+
+    def last(key, table, replies):
+        if not table.num_rows:
+            return out_schema.empty_table()
+        return build(unpacked(table, items), [load(x.as_py()) for x in replies.column("payload")])
+
+    anchors = packed.groupBy("chunk").applyInArrow(first, _ROW).groupBy("key").applyInArrow(second, _ROW)
+    found = packed.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(third, _ROW).groupBy("key").applyInArrow(fourth, _ROW)
+    return packed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(last, schema)
+
+
+def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of equal doc that overlap or touch, as one: doc, start, end in order."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    if not doc.size:
+        return doc, start, end
+    # Items are numbered through the chunk, so the largest end so far never reaches into the next text.
+    reach = np.maximum.accumulate(end)
+    new = np.ones(doc.size, bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])
+    head = np.flatnonzero(new)
+    return doc[head], start[head], reach[np.append(head[1:], doc.size) - 1]
+
+
+def outside(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Mask of the items outside disjoint ranges."""
+    step = np.zeros(size + 1, np.int8)
+    step[start] += 1
+    step[end] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8) == 0
+
+
+# -- windows that are their own anchors --------------------------------------
+
+
+def whole_windows(docs: DataFrame, n: int, build: Callable, schema: str, out_schema: pa.Schema) -> DataFrame:
+    """Windows of ``n`` lines, sent as two independent hashes; ``build(chunk, h, starts, marks)`` makes the rows."""
+    chunks, buckets = sizing(docs)
+    packed = pack(docs, chunks, False)
+
+    def windows(c: Chunk):
+        """Every window's start, hash and number in order of the chunk's distinct hashes; those hashes, their least texts and buckets."""
+        doc = np.repeat(np.arange(c.who.size), np.diff(c.first))
+        p = np.flatnonzero(within(doc, n))
+        h, h2 = (gram_hash(long_hash(c.b, c.start, c.end, seed=s), n)[p] if p.size else np.zeros(0, np.uint64) for s in (0, 1))
+        order = np.lexsort((h2, h))
+        new = runs(h[order], h2[order])
         head = np.flatnonzero(new)
-        tail = np.append(head[1:], new.size) - 1 if head.size else head
-        where = np.empty(order.size, np.int64)
-        where[order] = np.cumsum(new) - 1
-        return seen, where, (anchor[head], ctx[head], doc[head], doc[head] != doc[tail] if head.size else np.zeros(0, bool), bucket[head])
-
-    def ask(self, table: pa.Table, buckets: int, chunk: int) -> pa.Table:
-        _, _, (anchor, ctx, doc, several, bucket) = self.contexts(table, buckets)
-        found = []
-        for key, s in split(bucket):
-            found.append((key, chunk, 1, dump((anchor[s] >> np.uint64(16)).astype(np.uint32), (anchor[s] & np.uint64(0xFFFF)).astype(np.uint16), ctx[s], *short(doc[s]), np.packbits(several[s]))))
-        return rows(found)
-
-    def answer(self, key: int, table: pa.Table) -> pa.Table:
-        """Least doc_id of each context that stands in several documents or whose anchor has other contexts."""
+        number = np.empty(p.size, np.int64)
+        number[order] = np.cumsum(new) - 1
+        return p, number, h[order[head]], h2[order[head]], doc[p[order[head]]], doc[p[order[np.append(head[1:], p.size) - 1]]] if p.size else head
+
+    def ask(key, table):
+        c = unpacked(table, lines_of)
+        _, _, h, h2, low, high = windows(c)
+        several = c.who[low] != c.who[high]
+        return rows([(to, key[0].as_py(), dump(h[s], h2[s], *short(c.who[low[s]]), np.packbits(several[s]))) for to, s in split(bucket_of(h, buckets))])
+
+    def answer(key, table):
         parts = [load(x.as_py()) for x in table.column("payload")]
-        chunk = np.repeat(table.column("chunk").to_numpy(), [p[0].size for p in parts])
-        place = np.concatenate([np.arange(p[0].size, dtype=np.uint32) for p in parts])
-        anchor = np.concatenate([p[0].astype(np.uint64) << np.uint64(16) | p[1] for p in parts])
-        ctx, doc = np.concatenate([p[2] for p in parts]), np.concatenate([long(p[3], p[4]) for p in parts])
-        several = np.concatenate([np.unpackbits(p[5], count=p[0].size).astype(bool) for p in parts])
-        order = np.lexsort((chunk, doc, ctx, anchor))
-        anchor, ctx, doc, chunk, place, several = anchor[order], ctx[order], doc[order], chunk[order], place[order], several[order]
-        new, top = runs(anchor, ctx), runs(anchor)
-        group, family = np.cumsum(new) - 1, np.cumsum(top) - 1
-        head = np.flatnonzero(new)
-        repeated = (np.bincount(group) > 1) | (np.bincount(group, weights=several) > 0)
-        kinds = np.bincount(family, weights=new)
-        least, first = doc[head][group], np.zeros(doc.size, bool)
-        first[head] = True
-        mixed = kinds[family] > 1
-        first &= mixed
-        say = first | (least < doc) | (several & repeated[group])
-        flags = first.astype(np.uint8) + 2 * (kinds[family] > self.many).astype(np.uint8)
-        sel = np.flatnonzero(say)
-        sel = sel[np.lexsort((place[sel], chunk[sel]))]
-        return rows([(key, c, 1, dump(place[sel][s], *short(least[sel][s]), flags[sel][s])) for c, s in split(chunk[sel])])
-
-    def firsts(self, replies: pa.Table, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        least, flags = np.full(bucket.size, LAST_ID, np.int64), np.zeros(bucket.size, np.uint8)
-        begin = {key: s.start for key, s in split(bucket)}
-        for key, part, blob in zip(replies.column("key").to_pylist(), replies.column("part").to_pylist(), replies.column("payload")):
-            if part == 1:
-                place, base, gap, flag = load(blob.as_py())
-                at = begin[key] + place.astype(np.int64)
-                least[at], flags[at] = long(base, gap), flag
-        return least, flags
-
-    def detail(self, table: pa.Table, replies: pa.Table, buckets: int, chunk: int) -> pa.Table:
-        """Texts, or window hashes, of the contexts whose windows have to be told apart."""
-        seen, where, (anchor, ctx, doc, _, bucket) = self.contexts(table, buckets)
-        _, flags = self.firsts(replies, bucket)
-        want, found = flags & 1 > 0, []
-        text, few, at = [], [], 0
-        hashes = []
-        for who, b, p0, p1, a, _, d in seen:
-            own = where[at : at + p0.size]
-            at += p0.size
-            pick = np.flatnonzero(want[own] & (d == doc[own]))
-            pick = pick[np.unique(own[pick], return_index=True)[1]] if pick.size else pick
-            pick = pick[want[own[pick]]]
-            want[own[pick]] = False
-            if not pick.size:
-                continue
-            it = self.items(b)
-            slim, wide = pick[flags[own[pick]] < 2], pick[flags[own[pick]] >= 2]
-            if slim.size:
-                s, e = it.start[p0[slim]], it.end[p1[slim] + self.n - 1]
-                few.append(own[slim])
-                text += [b.buf[x:y].tobytes() for x, y in zip(s.tolist(), e.tolist())]
-            if wide.size:
-                size = p1[wide] - p0[wide] + 1
-                step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                p = np.repeat(p0[wide], size) + step
-                hashes.append((it.ranges(p, p + self.n, 12), it.ranges(p, p + self.n, 13), np.repeat(own[wide], size), step))
-        begin = {key: s.start for key, s in split(bucket)}
-        if text:
-            own = np.concatenate(few)
-            order = np.argsort(own, kind="stable")
-            own, text = own[order], [text[i] for i in order]
-            for key, s in split(bucket[own]):
-                part = text[s]
-                found.append((key, chunk, 2, dump((own[s] - begin[key]).astype(np.uint32), anchor[own[s]], *short(doc[own[s]]), np.array([len(x) for x in part], np.int32), np.frombuffer(b"".join(part), np.uint8))))
-        if hashes:
-            h, h2, own, step = (np.concatenate(x) for x in zip(*hashes))
-            to = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            h, h2, own, step, to = h[order], h2[order], own[order], step[order], to[order]
-            starts = np.array([begin[int(x)] for x in bucket[own]], np.int64)
-            for key, s in split(to):
-                found.append((key, chunk, 3, dump(h[s], h2[s].astype(np.uint32), *short(doc[own[s]]), bucket[own[s]].astype(np.int32), (own - starts)[s].astype(np.uint32), step[s].astype(np.uint8))))
-        return rows(found)
-
-    def settled(self, key: int, table: pa.Table) -> pa.Table:
-        found = []
-        part = table.column("part").to_numpy()
-        for kind in (2, 3):
-            own = table.filter(pa.array(part == kind))
-            if not own.num_rows:
-                continue
-            parts = [load(x.as_py()) for x in own.column("payload")]
-            chunk = np.repeat(own.column("chunk").to_numpy(), [p[0].size for p in parts])
-            if kind == 2:
-                place, anchor = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                doc, size = np.concatenate([long(p[2], p[3]) for p in parts]), np.concatenate([p[4] for p in parts])
-                off = np.zeros(size.size + 1, np.int64)
-                np.cumsum(size, out=off[1:])
-                mask = self.settle(self.items(Bytes(np.concatenate([*(p[5] for p in parts), np.zeros(32, np.uint8)]), off)), anchor, doc, self.n)
-                home = np.full(place.size, key, np.int32)
-            else:
-                h, h2, doc, home, place, step = (np.concatenate([x(p) for p in parts]) for x in (lambda p: p[0], lambda p: p[1], lambda p: long(p[2], p[3]), lambda p: p[4], lambda p: p[5], lambda p: p[6]))
-                order = np.lexsort((doc, h2, h))
-                head = np.flatnonzero(runs(h[order], h2[order]))
-                least = np.empty(doc.size, np.int64)
-                least[order] = np.repeat(doc[order][head], np.diff(np.append(head, doc.size)))
-                mask = np.where(least < doc, np.uint64(1) << step.astype(np.uint64), np.uint64(0))
-            sel = np.flatnonzero(mask)
-            sel = sel[np.argsort(chunk[sel], kind="stable")]
-            found += [(key, c, 2, dump(home[sel][s], place[sel][s], mask[sel][s])) for c, s in split(chunk[sel])]
-        return rows(found)
-
-    def marked(self, table: pa.Table, replies: pa.Table, buckets: int) -> Iterator[tuple[np.ndarray, Bytes, np.ndarray, np.ndarray]]:
-        """Pieces with the starts of their windows that stand in an earlier document, and those documents (-1: settled by windows)."""
-        seen, where, (_, _, doc, _, bucket) = self.contexts(table, buckets)
-        least, _ = self.firsts(replies, bucket)
-        mask, begin = np.zeros(bucket.size, np.uint64), {key: s.start for key, s in split(bucket)}
-        for part, blob in zip(replies.column("part").to_pylist(), replies.column("payload")):
-            if part == 2:
-                home, place, bits = load(blob.as_py())
-                np.bitwise_or.at(mask, np.array([begin[x] for x in home.tolist()], np.int64) + place.astype(np.int64), bits)
-        at = 0
-        for who, b, p0, p1, _, _, d in seen:
-            own = where[at : at + p0.size]
-            at += p0.size
-            whole, some = np.flatnonzero(least[own] < d), np.flatnonzero((d == doc[own]) & (mask[own] > 0) & (least[own] >= d))
-            size = p1[whole] - p0[whole] + 1
-            marks = [np.repeat(p0[whole], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-            source = [np.repeat(least[own[whole]], size)]
-            for bit in range(self.n - self.k + 1):
-                hit = some[mask[own[some]] >> np.uint64(bit) & np.uint64(1) > 0]
-                marks.append(p0[hit] + bit)
-                source.append(np.full(hit.size, -1, np.int64))
-            marks, source = np.concatenate(marks), np.concatenate(source)
-            order = np.argsort(marks, kind="stable")
-            yield who, b, marks[order], source[order]
-
-    def run(self, docs: DataFrame, build: Callable, schema: str, out_schema: pa.Schema) -> DataFrame:
-        """``docs`` has doc_id and text; one row for each, as ``build`` makes it."""
-        chunks, buckets = sizing(docs)
-        packed = pack(docs, chunks)
-
-        def ask(key, table):
-            return self.ask(table, buckets, key[0].as_py())
-
-        def answer(key, table):
-            return self.answer(key[0].as_py(), table)
-
-        def detail(key, table, replies):
-            return self.detail(table, replies, buckets, key[0].as_py())
-
-        def settled(key, table):
-            return self.settled(key[0].as_py(), table)
-
-        def final(key, table, replies):
-            made = [build(who, b, self.items(b), marks, source) for who, b, marks, source in self.marked(table, replies, buckets)]
-            return pa.concat_tables(made) if made else out_schema.empty_table()
-
-        first = packed.groupBy("chunk").applyInArrow(ask, _ROW).groupBy("key").applyInArrow(answer, _ROW)
-        replies = first
-        if self.settle is not None:
-            second = packed.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(detail, _ROW).groupBy("key").applyInArrow(settled, _ROW)
-            replies = first.unionByName(second)
-        return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(final, schema)
-
-
-def pair(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Least doc of each group of equal keys, for each member."""
-    order = np.lexsort((doc, *keys[::-1]))
-    head = np.flatnonzero(runs(*(k[order] for k in keys)))
-    out = np.empty(doc.size, np.int64)
-    out[order] = np.repeat(doc[order][head], np.diff(np.append(head, doc.size)))
-    return out
+        size = [p[0].size for p in parts]
+        h, h2, doc, several = columns([(p[0], p[1], long(p[2], p[3]), np.unpackbits(p[4], count=p[0].size).astype(bool)) for p in parts])
+        chunk, place = np.repeat(table.column("chunk").to_numpy(), size), np.concatenate([np.arange(x, dtype=np.uint32) for x in size])
+        order = np.lexsort((doc, h2, h))
+        head = np.flatnonzero(runs(h[order], h2[order]))
+        least = np.empty(doc.size, np.int64)
+        least[order] = np.repeat(doc[order[head]], np.diff(np.append(head, doc.size)))
+        own = np.flatnonzero((least < doc) | several)
+        own = own[np.lexsort((place[own], chunk[own]))]
+        return rows([(key[0].as_py(), c, dump(place[own[s]], *short(least[own[s]]))) for c, s in split(chunk[own])])
+
+    def final(key, table, replies):
+        if not table.num_rows:
+            return out_schema.empty_table()
+        c = unpacked(table, lines_of)
+        p, number, h, _, _, _ = windows(c)
+        least, begin = np.full(h.size, LAST_ID, np.int64), {to: s.start for to, s in split(bucket_of(h, buckets))}
+        for to, blob in zip(replies.column("key").to_pylist(), replies.column("payload")):
+            place, base, gap = load(blob.as_py())
+            least[begin[to] + place.astype(np.int64)] = long(base, gap)
+        return build(c, number, p, least[number] < c.who[c.doc(p)])
+
+    replies = packed.groupBy("chunk").applyInArrow(ask, _ROW).groupBy("key").applyInArrow(answer, _ROW)
+    return packed.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(final, schema)
 
 
 def id_column(who: np.ndarray) -> pa.Array:
     return pa.array(who, mask=who == LAST_ID)
-
-
-def sha_hex(parts: list[bytes]) -> pa.Array:
-    import hashlib
-
-    return pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())

@@ -7,6 +7,7 @@ instead of Python objects. Words are maximal runs of bytes outside ``[\\x20\\x09
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,21 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 _S30, _S27, _S31, _S29 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(29)
 
 
+def keep_heap(map_from: int = 8 << 20, trim_from: int = 64 << 20) -> None:
+    """Let the C library reuse the memory of arrays under ``map_from`` bytes.
+
+    By default every array of some hundred kilobytes is mapped and unmapped, and touching its
+    fresh pages takes longer than the work on them. Up to ``trim_from`` freed bytes are kept.
+    """
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        mallopt(-3, map_from)  # M_MMAP_THRESHOLD
+        mallopt(-1, trim_from)  # M_TRIM_THRESHOLD
+
+
+keep_heap()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit scrambler (multiply and xor-shift rounds)."""
     x = (x ^ (x >> _S30)) * _B
@@ -123,14 +139,14 @@ def slice_hash(b: Bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -> n
         left, at = left[more] - 8, at[more] + 8
 
 
-def long_hash(b: Bytes, start: np.ndarray, end: np.ndarray, block: int = 256) -> np.ndarray:
+def long_hash(b: Bytes, start: np.ndarray, end: np.ndarray, block: int = 256, seed: int = 0) -> np.ndarray:
     """As ``slice_hash`` for slices of any length: blocks are hashed side by side and summed under their number."""
     size = end - start
     count = np.maximum(1, -(-size // block))
     head = np.cumsum(count) - count
     nth = np.arange(count.sum()) - np.repeat(head, count)
     lo = np.repeat(start, count) + block * nth
-    parts = mix(slice_hash(b, lo, np.minimum(lo + block, np.repeat(end, count))) + nth.astype(np.uint64) * _A)
+    parts = mix(slice_hash(b, lo, np.minimum(lo + block, np.repeat(end, count)), seed) + nth.astype(np.uint64) * _A)
     return mix(np.add.reduceat(parts, head) ^ size.astype(np.uint64)) if size.size else parts
 
 

@@ -1,21 +1,19 @@
 """Line dedup over overlapping three-line windows.
 
-Consecutive lines are hashed; windows that repeat anywhere are found globally through the
-window exchange (``_repeats``), and every occurrence but the first, in order of doc_id and
-position, goes. Covered positions of overlapping windows are merged before lines are cut.
+Consecutive lines are hashed; windows that repeat anywhere are found globally (``_repeats``), and
+every occurrence but the first, in order of doc_id and position, goes. Covered positions of
+overlapping windows are merged before lines are cut.
 """
 
 from __future__ import annotations
 
-from itertools import compress
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import Search, id_column, line_items, runs
-from ._text import covered, per_text, within
+from ._repeats import Chunk, id_column, merged, runs, whole_windows
+from .suffix_dedup import kept_bytes
 
 LINES = 3
 _SCHEMA = "doc_id long, n_lines long, n_removed long, kept_text string"
@@ -23,21 +21,21 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed
 
 
 def _builder(n: int):
-    def build(who, b, items, marks, source) -> pa.Table:
+    def build(c: Chunk, number: np.ndarray, p: np.ndarray, marked: np.ndarray) -> pa.Table:
         # Within one document the first occurrence stays, later ones go.
-        p = np.flatnonzero(within(items.doc, n))
-        h, own = items.ranges(p, p + n, 12), items.doc[p]
-        order = np.lexsort((p, h, own))
+        own = c.doc(p)
+        order = np.lexsort((p, number, own))
         later = np.zeros(p.size, bool)
-        later[order] = ~runs(own[order], h[order])
-        gone = covered(np.union1d(marks, p[later]), n, items.doc.size)
-        removed, first, kept = per_text(gone.astype(np.int64), items.first), items.first.tolist(), []
-        for i in range(b.n):
-            text = b.text(i)
-            if removed[i]:
-                text = b"\n".join(compress(text.split(b"\n"), ~gone[first[i] : first[i + 1]]))
-            kept.append(text.decode("utf-8", "replace"))
-        return pa.table([id_column(who), pa.array(np.diff(items.first).astype(np.int64)), pa.array(removed), pa.array(kept, pa.string())], schema=_ARROW)
+        later[order] = ~runs(own[order], number[order])
+        gone = np.flatnonzero(marked | later)
+        doc, s, e = merged(own[gone], p[gone], p[gone] + n)
+        removed = np.bincount(doc, weights=e - s, minlength=c.who.size).astype(np.int64)
+        # A line goes with the newline before it; at the top of a text, with the one after it.
+        top, bottom = s == c.first[doc], e == c.first[doc + 1]
+        start = c.start[s] - ~top
+        end = np.where(top & ~bottom, c.start[np.minimum(e, c.size - 1)], c.end[e - 1])
+        left = np.diff(c.b.off) - np.bincount(doc, weights=end - start, minlength=c.who.size).astype(np.int64)
+        return pa.table([id_column(c.who), pa.array(np.diff(c.first).astype(np.int64)), pa.array(removed), kept_bytes(c, start, end, left, pa.string())], schema=_ARROW)
 
     return build
 
@@ -45,12 +43,12 @@ def _builder(n: int):
 def line_dedup(docs: DataFrame, n: int = LINES) -> DataFrame:
     """One row per row of ``docs``: its text without later occurrences of n-line windows.
 
-    Lines are split at ``\\n`` and compared whole, blank lines included. Reads ``doc_id`` and
-    ``text`` only. A null text is one empty line; a null doc_id counts as larger than any other;
-    rows that share a doc_id are not held against each other; a text of fewer than ``n`` lines
-    stays as it is. Windows are judged on the input, not on what is left.
+    Lines are split at ``\\n`` and compared whole, blank lines included, by 128 bits of hashes. Reads
+    ``doc_id`` and ``text`` only. A null text is one empty line; a null doc_id counts as larger than
+    any other; rows that share a doc_id are not held against each other; a text of fewer than ``n``
+    lines stays as it is. Windows are judged on the input, not on what is left.
     """
-    return Search(line_items, n, n, None, piece=2 << 20).run(docs, _builder(n), _SCHEMA, _ARROW)
+    return whole_windows(docs, n, _builder(n), _SCHEMA, _ARROW)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Suffix-array dedup by a depth-limited radix sort.
 
 Suffixes are ordered only through ``n`` bytes. The first digit is the suffix's anchor, by which
-the sort is dealt out over the cluster; suffixes whose whole surroundings repeat are settled by
-that digit's contexts. All others are sorted by most-significant-digit passes over eight
-bytes each; a group of equals after the last pass is exactly one repeated window.
+the sort is dealt out over the cluster; suffixes whose anchor stands in no other document are
+alone and leave there. In a bucket, suffixes that lie side by side in equal texts are sorted
+once, as one of them. All others are sorted by most-significant-digit passes over eight bytes
+each; a group of equals after the last pass is exactly one repeated window.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._repeats import Search, anchor_size, byte_items, id_column, runs
-from ._text import _LANE_MASK, covered, per_text
+from ._repeats import Chunk, Found, anchor_size, columns, family_slices, id_column, merged, mixed, outside, runs, search, spread
+from ._text import _LANE_MASK, mix
 
 BYTES = 50
 ANCHOR = 20
@@ -24,60 +25,88 @@ _SPAN = pa.struct([("start", pa.int64()), ("length", pa.int64())])
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(_SPAN)), ("kept", pa.binary())])
 
 
+def maybe_repeated(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of codes that occur more than once (and rare others), equal ones together, and where new ones begin: one sort of integers."""
+    bits = max(8, int(code.size).bit_length())
+    packed = mix(code) >> np.uint64(bits) << np.uint64(bits) | np.arange(code.size, dtype=np.uint64)
+    packed.sort()
+    new = np.ones(code.size + 1, bool)
+    new[1:-1] = (packed[1:] ^ packed[:-1]) >> np.uint64(bits) != 0
+    many = ~(new[:-1] & new[1:])
+    return (packed[many] & np.uint64((1 << bits) - 1)).astype(np.int64), new[:-1][many]
+
+
 def radix_groups(lanes: np.ndarray, pos: np.ndarray, group: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Order suffixes through ``n`` bytes within their groups; returns members of groups of two or more, and their groups."""
     live = np.arange(pos.size)
     for at in range(0, n, 8):
         digit = lanes[pos[live] + at] & _LANE_MASK[min(8, n - at)]
-        order = np.lexsort((digit, group))
-        live, group, digit = live[order], group[order], digit[order]
-        group = np.cumsum(runs(group, digit)) - 1
-        many = np.bincount(group)[group] > 1 if group.size else np.zeros(0, bool)
-        live, group = live[many], group[many]
+        some, begins = maybe_repeated(mix(group.astype(np.uint64)) ^ digit)
+        live, group, digit = live[some], group[some], digit[some]
+        new = runs(group, digit)
+        if (new & ~begins).any():  # unequal digits met under one hash
+            order = np.lexsort((digit, group))
+            live, group, digit = live[order], group[order], digit[order]
+            new = runs(group, digit)
+        many = ~(new & np.append(new[1:], True)) if new.size else new
+        live, group = live[many], (np.cumsum(new) - 1)[many]
     return live, group
 
 
-def settle(items, anchor: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """For each context, a bit for each of its windows that also starts in a smaller doc."""
-    size = np.diff(items.first) - n + 1
-    own = np.repeat(np.arange(doc.size), size)
-    step = np.arange(own.size) - np.repeat(np.cumsum(size) - size, size)
-    live, group = radix_groups(items.b.lanes(), items.first[own] + step, np.unique(anchor, return_inverse=True)[1][own], n)
-    mask = np.zeros(doc.size, np.uint64)
-    if live.size:
-        least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, doc[own[live]])
-        hit = live[least[group] < doc[own[live]]]
-        np.bitwise_or.at(mask, own[hit], np.uint64(1) << step[hit].astype(np.uint64))
-    return mask
+def _settle(n: int):
+    def settle(found: Found, group: np.ndarray, doc: np.ndarray, pos: np.ndarray):
+        """First and last window of each occurrence that also start in a smaller doc; they overlap, so all between are covered."""
+        windows = found.end - found.start - n + 1
+        lo, hi = windows.copy(), np.full(windows.size, -1)
+        some = mixed(found)
+        for own in family_slices(found, some, windows[some]):
+            g, step = np.repeat(own, windows[own]), spread(windows[own])
+            live, same = radix_groups(found.b.lanes(), found.start[g] + step, found.family[g], n)
+            if not live.size:
+                continue
+            head = np.flatnonzero(runs(same))
+            least = np.repeat(np.minimum.reduceat(found.least[g[live]], head), np.diff(np.append(head, live.size)))
+            hit = live[least < found.least[g[live]]]
+            np.minimum.at(lo, g[hit], step[hit])
+            np.maximum.at(hi, g[hit], step[hit])
+        later = found.least[group] < doc
+        first, last = np.where(later, 0, lo[group]), np.where(later, windows[group] - 1, hi[group])
+        own = np.flatnonzero(first <= last)
+        return own, [first[own].astype(np.uint8), last[own].astype(np.uint8)]
+
+    return settle
 
 
 def _builder(n: int):
-    def build(who, b, items, marks, source) -> pa.Table:
-        gone = covered(marks, n, items.doc.size)
-        opens = gone & np.concatenate([[True], ~gone[:-1] | (items.doc[1:] != items.doc[:-1])])[: gone.size]
-        closes = gone & np.concatenate([~gone[1:] | (items.doc[1:] != items.doc[:-1]), [True]])[-gone.size or gone.size + 1 :]
-        head, tail = np.flatnonzero(opens), np.flatnonzero(closes)
-        owner = items.doc[head]
-        spans = pa.StructArray.from_arrays([pa.array(head - b.off[owner]), pa.array(tail - head + 1)], fields=list(_SPAN))
-        per = np.searchsorted(owner, np.arange(b.n + 1)).astype(np.int32)
-        removed = per_text(gone.astype(np.int64), b.off)
-        size = np.diff(b.off)
-        off = np.concatenate([[0], np.cumsum(size - removed)]).astype(np.int32)
-        kept = pa.Array.from_buffers(pa.binary(), b.n, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(b.buf[: gone.size][~gone].tobytes())])
-        return pa.table([id_column(who), pa.array(size), pa.array(removed), pa.ListArray.from_arrays(pa.array(per), spans), kept], schema=_ARROW)
+    def build(c: Chunk, answers: list[list[np.ndarray]]) -> pa.Table:
+        place, first, last = columns(answers) if answers else (np.zeros(0, np.int64),) * 3
+        place = place.astype(np.int64)
+        doc, start, end = merged(c.doc(place), place + first, place + last + n)
+        spans = pa.StructArray.from_arrays([pa.array(start - c.b.off[doc]), pa.array(end - start)], fields=list(_SPAN))
+        per = np.searchsorted(doc, np.arange(c.who.size + 1)).astype(np.int32)
+        size, removed = np.diff(c.b.off), np.bincount(doc, weights=end - start, minlength=c.who.size).astype(np.int64)
+        kept = kept_bytes(c, start, end, size - removed, pa.binary())
+        return pa.table([id_column(c.who), pa.array(size), pa.array(removed), pa.ListArray.from_arrays(pa.array(per), spans), kept], schema=_ARROW)
 
     return build
 
 
-def suffix_dedup(docs: DataFrame, n: int = BYTES) -> DataFrame:
+def kept_bytes(c: Chunk, start: np.ndarray, end: np.ndarray, left: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The chunk's texts without disjoint byte ranges; ``left`` bytes of each are left."""
+    off = np.concatenate([[0], np.cumsum(left)]).astype(np.int32)
+    size = int(c.b.off[-1])
+    return pa.Array.from_buffers(kind, c.who.size, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(c.b.buf[:size][outside(size, start, end)].tobytes())])
+
+
+def suffix_dedup(docs: DataFrame, n: int = BYTES, **options) -> DataFrame:
     """One row per row of ``docs``: the bytes that are left and the maximal removed spans.
 
     Reads ``doc_id`` and ``text`` only. A null text is empty; a null doc_id counts as larger
     than any other; rows that share a doc_id never remove each other's bytes; a text of fewer
     than ``n`` bytes stays as it is. Spans may cut a character in two, hence ``kept`` is binary.
+    A worker needs some eight times its longest text.
     """
-    return Search(byte_items, n, anchor_size(n, ANCHOR), settle).run(docs, _builder(n), _SCHEMA, _ARROW)
+    return search(docs, False, n, anchor_size(n, ANCHOR), _settle(n), _builder(n), _SCHEMA, _ARROW, **options)
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

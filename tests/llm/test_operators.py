@@ -13,7 +13,6 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from tallyloom.llm import exact_dedup, line_dedup, mixing, packing, quality, registry, repetition, simhash, substring_dedup, suffix_dedup, toxicity
-from tallyloom.llm._repeats import Search, byte_items, word_items
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sha string, `row` string, maybe string, __k string, fp string, c0 string, shards string"
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -71,18 +70,38 @@ def removed(items_of, n, join):
     return Counter(out)
 
 
-@pytest.mark.parametrize("many", [0, 3, 1024])
-def test_substring_dedup(docs, many):
-    got = Search(word_items, 13, 7, substring_dedup.settle, many=many, piece=3000).run(docs, substring_dedup._builder(13), substring_dedup._SCHEMA, substring_dedup._ARROW)
+@pytest.mark.parametrize("hot,segment", [(0, 100), (4, 1000), (2048, 1 << 18)])
+def test_substring_dedup(docs, hot, segment):
+    got = substring_dedup.substring_dedup(docs, hot=hot, segment=segment)
     want = removed(words_of, 13, " ".join)
     assert as_bag(got.select("doc_id", "n_words", "n_removed", "kept_text").collect()) == want
+    texts = defaultdict(list)
+    for i, t in corpus():
+        texts[ranked(i)].append(" ".join(words_of(t)))
     for r in got.where("n_removed > 0").collect():
-        assert all(f["length"] >= 13 for f in r["factors"])
-
-
-@pytest.mark.parametrize("many", [0, 3, 1024])
-def test_suffix_dedup(docs, many):
-    got = Search(byte_items, 50, 20, suffix_dedup.settle, many=many, piece=3000).run(docs, suffix_dedup._builder(50), suffix_dedup._SCHEMA, suffix_dedup._ARROW)
+        spans, before = r["factors"], 0
+        assert r["n_removed"] == len({w for f in spans for w in range(f["start"], f["start"] + f["length"])})
+        for f in spans:
+            # Every factor is text of its source; only windows across a boundary may begin inside the factor before.
+            assert f["length"] >= 13 and f["source"] < ranked(r["doc_id"])
+            assert f["boundary"] or f["start"] >= before
+            before = before if f["boundary"] else f["start"] + f["length"]
+            own = {" ".join(words_of(t)[f["start"] : f["start"] + f["length"]]) for t in [x for i, x in corpus() if i == r["doc_id"]]}
+            assert any(x in t for x in own for t in texts[f["source"]])
+
+
+def test_windows_across_factors_are_checked(spark):
+    """A document made of two overlapping sources: the second is known by boundary windows first."""
+    w = [f"u{i}" for i in range(60)]
+    rows = [(1, " ".join(w[:30])), (2, " ".join(w[20:60])), (3, " ".join(w))]
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [0, 0, 60]
+    assert [tuple(f) for f in got[3]["factors"]] == [(0, 30, 1, False), (20, 22, 2, True), (30, 30, 2, False)]
+
+
+@pytest.mark.parametrize("hot,segment", [(0, 100), (4, 1000), (2048, 1 << 18)])
+def test_suffix_dedup(docs, hot, segment):
+    got = suffix_dedup.suffix_dedup(docs, hot=hot, segment=segment)
     want = removed(lambda t: list((t or "").encode()), 50, bytes)
     rows = got.collect()
     assert as_bag((r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in rows) == want
