@@ -301,13 +301,16 @@ def equal_slices(b: Bytes, start: np.ndarray, end: np.ndarray, key: np.ndarray)
     code = key & ~_PLACE | hashed(b, start, end, 11) >> np.uint64(44)
     order = np.argsort(code)
     new = runs(code[order])
-    head = np.flatnonzero(new)
     rest = np.flatnonzero(~new)
     if rest.size:
-        to = order[head][np.cumsum(new)[rest] - 1]
-        own = order[rest]
-        # Unequal bytes under equal hashes make groups of their own; equal ones kept apart that way only cost work.
-        new[rest[(size[own] != size[to]) | ~same_bytes(b, start[own], start[to], size[own])]] = True
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        own, to = order[rest], order[head[rest]]
+        other = np.zeros(order.size, bool)
+        other[rest] = (size[own] != size[to]) | ~same_bytes(b, start[own], start[to], size[own])
+        if other.any():
+            # Unequal bytes under one hash: from the first such slice on, each makes a group of its own, which only costs work.
+            count = np.cumsum(other)
+            new |= count > count[head]
     return order, new
 
 

@@ -49,3 +49,19 @@ def test_long_windows(spark, n):
     want = {k: n + 3 if k % 2 else 0 for k in range(16)}
     for dedup, rows in ((substring_dedup.substring_dedup, words), (suffix_dedup.suffix_dedup, letters)):
         assert dict(dedup(spark.createDataFrame(rows, "doc_id long, text string"), n).select("doc_id", "n_removed").collect()) == want
+
+
+def test_slices_of_one_hash_stay_apart(monkeypatch):
+    """Equal slices that lie beyond an unequal one of the same hash are never taken for it."""
+    import numpy as np
+
+    from tallyloom.llm import _repeats
+
+    monkeypatch.setattr(_repeats, "hashed", lambda b, start, end, seed: np.zeros(start.size, np.uint64))
+    data = [b"aaaa", b"aaaa", b"bbbb", b"aaaa", b"bbbb", b"ccc"]
+    flat, end = np.frombuffer(b"".join(data) + bytes(32), np.uint8), np.cumsum([len(x) for x in data])
+    start = end - [len(x) for x in data]
+    order, new = _repeats.equal_slices(_repeats.Bytes(flat, np.zeros(1, np.int64)), start, end, np.zeros(6, np.uint64))
+    group = np.cumsum(new) - 1
+    for g in range(group.max() + 1):
+        assert len({data[i] for i in order[group == g]}) == 1
