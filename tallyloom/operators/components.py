@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,10 +15,16 @@ LAST_EDGES = 50_000
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder of the session; make a local one only where none is set."""
+    """Use the shared folder that the session names; make one only where none is named and all work is on this machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="tallyloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
 
 
 def settle_table(df: DataFrame) -> DataFrame:
@@ -25,16 +33,17 @@ def settle_table(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle_state(df: DataFrame) -> DataFrame:
+def settle_state(df: DataFrame, *parts: str) -> DataFrame:
     """``df`` as a written table in the shared checkpoint folder, for state that is joined round after round.
 
     A checkpoint keeps the size estimate of its plan, and estimates of joins multiply: in a
-    loop they soon have millions of digits. A written table has its true size.
+    loop they soon have millions of digits. A written table has its true size. ``parts`` are
+    columns whose values get folders of their own, without a shuffle.
     """
     spark = df.sparkSession
     shared_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/state-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
