@@ -2,15 +2,14 @@
 
 Pass one sets each text's bit and learns which bits were set more than once. Only rows whose
 bit was ("possibly repeated") take part in the shuffle of pass two; all others pass straight
-through. The filter has some 16 bits a row, cut into segments that are merged apart, so no
-task sees all of it. Up to ``BROADCAST_BYTES`` the repeated bits go to the tasks as a
-broadcast; beyond that there is no filter, and all rows are shuffled by their hash.
+through. The filter has some 16 bits a row. Rows are kept by range of their hash, without a
+shuffle, and every range has a filter of ``FILTER_BYTES`` at most, which goes to the tasks
+that read the range; more rows mean more ranges. A filter is built in segments that are merged apart.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import settle_table
+from ..operators.components import settle_state, settle_table
 from ._repeats import dump, id_column, load, split
 from ._skew import look_up
 from ._text import WHITESPACE, as_bytes, ids, text_pieces
 
 BITS_A_ROW = 16
 SEGMENT_BITS = 1 << 20
-#: The repeated bits are broadcast up to this size.
-BROADCAST_BYTES = 64 << 20
+#: Most bytes of one range's filter.
+FILTER_BYTES = 64 << 20
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,18 +66,23 @@ def repeated_bits(hashes: DataFrame, segments: int) -> DataFrame:
     return hashes.select("h").mapInArrow(sort_out, "key long, bits binary").groupBy("key").applyInArrow(merge, "key long, bits binary")
 
 
-def possibly_repeated(rows: DataFrame, hashes: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """``rows`` (with a hash ``h``) and the column ``maybe``, false only where no other of ``hashes``, the rows' own, is the same.
+def possibly_repeated(rows: DataFrame, n_rows: int, filter_bytes: int) -> DataFrame:
+    """``rows`` (with a hash ``h``) and the column ``maybe``, false only where no other row has the same hash. No row is shuffled."""
+    ranges = max(1, -(-n_rows * BITS_A_ROW // (8 * filter_bytes)))
+    segments = max(1, -(-n_rows * BITS_A_ROW // (ranges * SEGMENT_BITS)))
+    stored = settle_state(rows.withColumn("range", F.pmod(F.shiftright("h", 40), F.lit(ranges)).cast("int")), "range")
+    out = None
+    for k in range(ranges):
+        own = stored.where(F.col("range") == k).drop("range")
+        part = own.withColumn("maybe", _tester(own, segments)("h"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    Bits beyond ``broadcast_bytes`` are not built: repeated hashes are joined, which shuffles all of ``rows``.
-    """
-    n_rows = hashes.count()
-    segments = max(1, -(-n_rows * BITS_A_ROW // SEGMENT_BITS))
-    if segments * SEGMENT_BITS // 8 > broadcast_bytes:
-        twice = hashes.groupBy("h").count().where("count > 1").select("h", F.lit(True).alias("maybe"))
-        return rows.join(twice, "h", "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
+
+def _tester(rows: DataFrame, segments: int):
+    """A UDF that looks hashes up in the filter of ``rows``."""
     bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for key, part in repeated_bits(hashes, segments).toLocalIterator():
+    for key, part in repeated_bits(rows, segments).toLocalIterator():
         bits[key * SEGMENT_BITS // 8 : (key + 1) * SEGMENT_BITS // 8] = np.frombuffer(part, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
@@ -87,52 +91,44 @@ def possibly_repeated(rows: DataFrame, hashes: DataFrame, broadcast_bytes: int)
         at = h.to_numpy().view(np.uint64) % np.uint64(segments * SEGMENT_BITS)
         return pd.Series(shared.value[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8) & 1 == 1)
 
-    return rows.withColumn("maybe", test("h"))
-
-
-def groups_of(maybe: DataFrame) -> DataFrame:
-    """sha, keep_id, group_size; the longest original text stays, then the smallest doc_id (null last)."""
-    best = F.max_by("doc_id", F.struct("points", F.col("doc_id").isNotNull(), -F.col("doc_id")))
-    return maybe.groupBy("sha").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return test
 
 
-def exact_groups(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def exact_groups(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are identical without ``[\\x20\\x09-\\x0D]``; null counts as empty.
     Of equal texts the one with most code points stays, then the smallest doc_id, null after
-    all others. Rows that repeat the staying row's doc_id count as kept, too. Reads ``doc_id``
-    and ``text`` only. An empty table gives an empty result.
+    all others; of rows that tie in both, one. Exactly one row of a group is kept. Reads
+    ``doc_id`` and ``text`` only. An empty table gives an empty result.
     """
-    rows = settle_table(digests(docs))
-    rows = settle_table(possibly_repeated(rows, rows.select("h"), broadcast_bytes))
+    total = docs.count()
+    numbered = digests(docs).withColumn("n", F.monotonically_increasing_id())
+    rows = settle_table(possibly_repeated(numbered, total, filter_bytes))
     sha = F.lower(F.hex("sha")).alias("text_sha256")
     alone = rows.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
-    maybe = rows.where("maybe").select("doc_id", "points", "sha")
-    groups = settle_table(groups_of(maybe))
-    found = look_up(maybe, groups, "sha", "group_size", rows.count())
-    return alone.unionByName(found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha))
+    maybe = rows.where("maybe").select("doc_id", "points", "sha", "n")
+    best = F.max_by(F.struct("doc_id", "n"), F.struct("points", F.col("doc_id").isNotNull(), -F.col("doc_id"), -F.col("n"))).alias("keep")
+    groups = settle_table(maybe.groupBy("sha").agg(best, F.count(F.lit(1)).alias("group_size")))
+    found = look_up(maybe, groups, "sha", "group_size", total)
+    return alone.unionByName(found.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("n") == F.col("keep.n")).alias("kept"), sha))
 
 
-def drop_copies(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def drop_copies(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are; exactly one of each group.
 
-    Rows whose hash the filter has only once are never shuffled; beyond ``broadcast_bytes`` of bits
-    there is no filter, and every whole row is shuffled by its hash once. Of the others, whole rows meet
+    Rows whose hash the filter has only once are never shuffled. Of the others, whole rows meet
     by a hash of their text, one row of each group and task at most (the aggregation starts
-    before the shuffle). Column names may be anything: the row travels as one struct.
+    before the shuffle). Of rows that tie in code points and doc_id, any one stays. Column
+    names may be anything: the row travels as one struct.
     """
-    names = docs.columns
-    tag = f"_{uuid.uuid4().hex[:8]}"
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(f"row{tag}"))
-    bare = F.regexp_replace(F.coalesce(F.col(f"row{tag}.text"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    bare = F.regexp_replace(F.coalesce(F.col("row.text"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")
     rows = whole.withColumn("sha", F.unhex(F.sha2(bare, 256))).withColumn("h", F.xxhash64("sha"))
-    hashes = settle_table(rows.select("h"))
-    rows = possibly_repeated(rows, hashes, broadcast_bytes)
-    row, points = F.col(f"row{tag}"), F.coalesce(F.char_length(F.col(f"row{tag}.text")), F.lit(0))
-    doc = F.col(f"row{tag}.doc_id")
-    best = rows.where("maybe").groupBy("sha").agg(F.max_by(row, F.struct(points, doc.isNotNull(), -doc)).alias(f"row{tag}"))
-    return rows.where("NOT maybe").select(f"row{tag}").unionByName(best.select(f"row{tag}")).select(f"row{tag}.*")
+    rows = possibly_repeated(rows, docs.count(), filter_bytes)
+    points, doc = F.coalesce(F.char_length(F.col("row.text")), F.lit(0)), F.col("row.doc_id")
+    best = rows.where("maybe").groupBy("sha").agg(F.max_by("row", F.struct(points, doc.isNotNull(), -doc)).alias("row"))
+    return rows.where("NOT maybe").select("row").unionByName(best.select("row")).select("row.*")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
