@@ -22,22 +22,24 @@ def look_up(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int
     return few.unionByName(marked.where("__hot IS NULL").drop("__hot").join(groups.where(F.col(count) <= large), key))
 
 
-def running_total(rows: DataFrame, key: str, order: list[str], value: str, total: int, out: str, block: int = 1024) -> DataFrame:
-    """``rows`` with the sum of ``value`` over the rows of the same key that come before, ``order`` by a spread hash first.
+def running_total(rows: DataFrame, key: str, order: list[str], values: dict[str, str], total: int, block: int = 1024) -> DataFrame:
+    """``rows`` with sums over the rows of the same key that come before; ``values`` maps new columns to the summed ones.
 
-    Rows are dealt into blocks of about ``block`` rows of one key by a hash; windows run
-    inside a block and over the blocks' sums, so no task sees all rows of a key. Blocks come
-    in the order of their number, so the result is a running total over (block, order).
+    Rows are dealt into blocks of about ``block`` rows of one key by a hash of ``order``, blocks into
+    runs of ``block`` blocks. Windows go over the rows of a block, the blocks of a run and the
+    runs of a key, so a key with all of ``total`` rows has total / block^2 rows in its last window. The
+    order is that of the blocks' numbers, then ``order``.
     """
     blocks = max(1, -(-total // block))
+    earlier = lambda by, within: Window.partitionBy(key, *within).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda column, by, *within: F.coalesce(F.sum(column).over(earlier(by, within)), F.lit(0))
     dealt = rows.withColumn("__block", F.pmod(F.xxhash64(*order, F.lit(7)), F.lit(blocks)))
-    inner = Window.partitionBy(key, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(key, "__block").agg(F.sum(value).alias("__sum"))
-    outer = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(outer), F.lit(0))).drop("__sum")
-    return (
-        dealt.withColumn("__inside", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-        .join(before, (dealt[key].eqNullSafe(before[key])) & (dealt["__block"] == before["__block"]))
-        .select(dealt["*"], (F.col("__before") + F.col("__inside")).alias(out))
-        .drop("__inside", "__block")
-    )
+    sums = dealt.groupBy(key, "__block").agg(*[F.sum(v).alias(f"__{out}") for out, v in values.items()]).withColumn("__run", F.floor(F.col("__block") / block))
+    runs = sums.groupBy(key, "__run").agg(*[F.sum(f"__{out}").alias(f"__all_{out}") for out in values])
+    runs = runs.select(F.col(key).alias("__rk"), F.col("__run").alias("__rr"), *[before(f"__all_{out}", ["__run"]).alias(f"__all_{out}") for out in values])
+    same_run = F.col(key).eqNullSafe(F.col("__rk")) & (F.col("__run") == F.col("__rr"))
+    sums = sums.select(key, "__block", "__run", *[before(f"__{out}", ["__block"], "__run").alias(f"__{out}") for out in values]).join(runs, same_run)
+    sums = sums.select(F.col(key).alias("__bk"), F.col("__block").alias("__bb"), *[(F.col(f"__{out}") + F.col(f"__all_{out}")).alias(f"__{out}") for out in values])
+    inside = dealt.select("*", *[before(v, order, "__block").alias(f"__in_{out}") for out, v in values.items()])
+    joined = inside.join(sums, F.col(key).eqNullSafe(F.col("__bk")) & (F.col("__block") == F.col("__bb")))
+    return joined.select(*rows.columns, *[(F.col(f"__in_{out}") + F.col(f"__{out}")).alias(out) for out in values])

@@ -136,12 +136,12 @@ def groups_by_text():
     return out
 
 
-@pytest.mark.parametrize("limit", [0, 64 << 20])
+@pytest.mark.parametrize("limit", [8, 40, 64 << 20])
 def test_exact_dedup(docs, limit):
     want = []
     for text, rows in groups_by_text().items():
-        keep = min(rows, key=lambda r: (-len(r[1] or ""), ranked(r[0])))[0]
-        want += [(i, keep, len(rows), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i, _ in rows]
+        best = min(range(len(rows)), key=lambda k: (-len(rows[k][1] or ""), ranked(rows[k][0])))
+        want += [(i, rows[best][0], len(rows), k == best, hashlib.sha256(text.encode()).hexdigest()) for k, (i, _) in enumerate(rows)]
     assert as_bag(exact_dedup.exact_groups(docs, limit).collect()) == Counter(want)
     kept = exact_dedup.drop_copies(docs, limit)
     assert kept.columns == docs.columns
@@ -278,13 +278,21 @@ def test_boundaries_are_optimal():
         sum(int(count[k]) * (min(e for e in ends if e >= top[k]) - int(top[k])) for k in range(9))
         for ends in (tuple(int(x) for x in c) + (int(top[-1]),) for c in itertools.combinations(top[:-1], 2))
     )
-    ends = packing.boundaries(top, count, top * count, 3)
+    ends = packing.boundaries(top.tolist(), count.tolist(), (top * count).tolist(), 3)
     assert sum(int(count[k]) * (min(e for e in ends if e >= top[k]) - int(top[k])) for k in range(9)) == best and ends[-1] == top[-1]
 
 
-def test_histogram_cells(spark):
-    got = [r[0] for r in spark.range(1, 20000).select(packing.cell(F.col("id"))).collect()]
-    assert got == sorted(got) and got[:1024] == list(range(1, 1025))
+def test_boundaries_of_long_texts_are_optimal():
+    """Against the plain quadratic programme, up to 20,000 tokens."""
+    r = np.random.default_rng(4)
+    top = np.unique(np.minimum(20000, (r.pareto(1.1, 4000) * 300 + 1).astype(int)))
+    count = r.integers(1, 50, top.size)
+    rows, words = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * top)])
+    best = np.concatenate([[0], np.full(top.size, 1 << 60)])
+    for _ in range(8):
+        best = np.array([0] + [min(best[i] + top[j - 1] * (rows[j] - rows[i]) - (words[j] - words[i]) for i in range(max(0, j - 900), j)) for j in range(1, top.size + 1)])
+    ends = np.array(packing.boundaries(top.tolist(), count.tolist(), (count * top).tolist(), 8))
+    assert int((count * (ends[np.searchsorted(ends, top)] - top)).sum()) == best[-1]
 
 
 def test_targets():
@@ -293,11 +301,44 @@ def test_targets():
     assert mixing.targets([("a", 0), (None, 0)]) == [0.0, 0.0] and mixing.targets([]) == []
 
 
-def test_tree_is_exact_and_spread():
+def test_tree_is_exact_and_spread(spark):
     q = np.array([1000, 30, 0, 400])
-    t = mixing.tree(q, 7, 5)
-    assert (t.sum(axis=0) == q).all() and t.sum(axis=1).max() - t.sum(axis=1).min() <= 1 and (t >= 0).all()
-    assert (t == mixing.tree(q, 7, 5)).all() and (t != mixing.tree(q, 7, 6)).any()
+    for shards in (1, 7, 200):
+        got = mixing.tree(spark, q, shards, 5).collect()
+        for nth, size in enumerate(q):
+            ranges = sorted((r["first"], r["last"]) for r in got if r["nth"] == nth)
+            assert [x for a, b in ranges for x in range(a, b + 1)] == list(range(size))
+        per = Counter()
+        for r in got:
+            per[r["shard"]] += r["last"] - r["first"] + 1
+        assert len(per) == shards and max(per.values()) - min(per.values()) <= 1
+        assert as_bag(got) == as_bag(mixing.tree(spark, q, shards, 5).collect())
+        assert shards == 1 or as_bag(got) != as_bag(mixing.tree(spark, q, shards, 6).collect())
+
+
+def test_mix_keeps_whole_rows(spark, docs):
+    """Clashing names, null and repeated ids, repeated rows: what comes out are rows of the table, each at most twice."""
+    names = ["doc_id", "text", "source", "__k", "__shard", "__copy", "__shards", "n", "k", "row", "shards", "nth"]
+    own = docs.select("doc_id", "text", "source", *[F.lit(f"its {c}").alias(c) for c in names[3:]])
+    have, got = as_bag(own.collect()), as_bag(mixing.mix(own, 3).collect())
+    assert got and all(got[r] <= 2 * have[r] for r in got)
+    verdicts = Counter()
+    for r in mixing.taken(own, 3).collect():
+        verdicts[r["doc_id"]] += len(r["shards"])
+    ids = Counter()
+    for r, c in got.items():
+        ids[r[0]] += c
+    assert ids == +verdicts
+    # The same rows in other partitions are taken alike.
+    other = own.repartition(7)
+    flat = [F.concat_ws(",", "shards").alias("shards"), "doc_id", "size", "taken"]
+    assert as_bag(mixing.taken(other, 3).select(*flat).collect()) == as_bag(mixing.taken(own, 3).select(*flat).collect())
+
+
+def test_a_source_of_one_text_is_split(spark):
+    rows = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") < 400, "x").otherwise(F.lit("y")).alias("source"))
+    for r in mixing.taken(rows).groupBy("source_size").agg(F.sum("taken").alias("t"), F.max("target").alias("goal")).collect():
+        assert abs(r["t"] - r["goal"]) <= 3
 
 
 def test_mixing(spark, docs):
