@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._repeats import id_column
-from ._text import Words, as_words, covered, gram_hash, ids, mix, per_text, text_pieces, texts, within, word_hash
+from ._text import Words, as_words, covered, gram_hash, ids, long_hash, mix, per_text, text_pieces, texts, within, word_hash
 
 #: Largest share of word characters inside duplicated n-grams, by n.
 NGRAM_LIMITS = {3: 0.60, 5: 0.30, 7: 0.28, 10: 0.26}
@@ -45,23 +45,23 @@ def repeated_items(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return covered(p[twice], n, doc.size)
 
 
-def _lines(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Lines with a word that are equal to an earlier line of their text: their number and share of bytes."""
-    number, share = np.zeros(w.n, np.int64), np.zeros(w.n)
-    for i in range(w.n):
-        text = w.text(i)
-        if b"\n" not in text:
-            continue
-        seen, twice, size = set(), 0, 0
-        for line in text.split(b"\n"):
-            if line in seen:
-                if line.strip(b" \t\n\x0b\x0c\r"):
-                    twice += 1
-                    size += len(line)
-            else:
-                seen.add(line)
-        number[i], share[i] = twice, size / len(text)
-    return number, share
+def _lines(w: Words, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines with a word that are equal to an earlier line of their text: their number and characters; ``points`` counts characters before each byte."""
+    breaks = np.flatnonzero(w.buf[: w.off[-1]] == 10)
+    first = np.searchsorted(breaks, w.off) + np.arange(w.n + 1)
+    end = np.sort(np.concatenate([breaks, w.off[1:]]), kind="stable")
+    start = np.empty_like(end)
+    start[1:] = end[:-1] + 1
+    start[first[:-1]] = w.off[:-1]
+    doc = np.repeat(np.arange(w.n), np.diff(first))
+    live = np.flatnonzero((np.diff(first) > 1)[doc] & (np.searchsorted(w.start, start) < np.searchsorted(w.start, end)))
+    start, end, doc = start[live], end[live], doc[live]
+    h, h2 = long_hash(w, start, end), long_hash(w, start, end, seed=1)
+    order = np.lexsort((np.arange(doc.size), h2, h, doc))
+    same = np.zeros(doc.size, bool)
+    same[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    size = points[end] - points[start]
+    return np.bincount(doc[same], minlength=w.n), np.bincount(doc[same], weights=size[same], minlength=w.n).astype(np.int64)
 
 
 def measure(batch: pa.RecordBatch, lengths: tuple[int, ...]) -> pa.RecordBatch:
@@ -73,7 +73,9 @@ def measure(batch: pa.RecordBatch, lengths: tuple[int, ...]) -> pa.RecordBatch:
     chars = count[w.end] - count[w.start]
     word_chars = per_text(chars, w.first)
     symbols = per_text(_SYMBOL[w.buf[: w.off[-1]]].astype(np.int64), w.off)
-    dup_lines, dup_share = _lines(w)
+    points = np.concatenate([[0], np.cumsum((w.buf & 0xC0) != 0x80)])
+    dup_lines, dup_chars = _lines(w, points)
+    dup_share = dup_chars / np.maximum(points[w.off[1:]] - points[w.off[:-1]], 1)
     repeat = repeated_items(h, w.doc, 5)
     n_repeat = per_text(repeat.astype(np.int64), w.first)
     failed = (total < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * total)
@@ -92,7 +94,7 @@ def repetition_rules(docs: DataFrame, lengths: tuple[int, ...] = tuple(NGRAM_LIM
 
     A text is kept if it passes the base rules, no more than the limits' shares of its word
     characters stand inside duplicated n-grams, repeated lines make up at most LINE_LIMIT of
-    its bytes, and it has at most SYMBOL_LIMIT symbols a word. Reads ``doc_id`` and ``text``
+    its characters, and it has at most SYMBOL_LIMIT symbols a word. Reads ``doc_id`` and ``text``
     only; a null text has no words (and fails the base rules); a null doc_id stays null.
     """
 
@@ -123,10 +125,10 @@ shares AS (
   SELECT doc_id, max(words) FILTER (n = 5) AS w5, max(chars) FILTER (n = 3) AS c3, max(chars) FILTER (n = 5) AS c5, max(chars) FILTER (n = 7) AS c7, max(chars) FILTER (n = 10) AS c10 FROM cov GROUP BY doc_id
 ),
 l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS nth FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-dup AS (SELECT doc_id, count(*) AS n_dup, sum(strlen(line)) AS size FROM l WHERE nth > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) AS n_dup, sum(length(line)) AS size FROM l WHERE nth > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-    coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(w5, 0)::BIGINT AS n_repeat_words, coalesce(size, 0)::DOUBLE / greatest(strlen(t), 1) AS dup_line_share, c3, c5, c7, c10
+    coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(w5, 0)::BIGINT AS n_repeat_words, coalesce(size, 0)::DOUBLE / greatest(length(t), 1) AS dup_line_share, c3, c5, c7, c10
   FROM w LEFT JOIN shares USING (doc_id) LEFT JOIN dup USING (doc_id)
 ),
 s AS (
