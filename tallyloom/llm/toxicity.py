@@ -24,7 +24,7 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.2
 #: Words longer than these numbers of bytes count by their first bytes, too.
 STEMS = (4, 5, 6, 7)
 #: Sentences start out as this unlikely to be toxic.
-PRIOR = -10.0
+PRIOR = -8.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 
@@ -99,7 +99,8 @@ def score(weights: np.ndarray, column: pa.Array, threshold: float = THRESHOLD) -
     number = int(sentence[-1]) + 1 if sentence.size else 0
     live = np.flatnonzero(weights[slot])
     key = np.unique(own[live] * SLOTS + slot[live])
-    p = sigmoid(np.bincount(key // SLOTS, weights=weights[:-1][key % SLOTS], minlength=number) + weights[-1])
+    # Above what a sentence without evidence has: any number of such sentences leaves a text clean.
+    p = np.maximum(sigmoid(np.bincount(key // SLOTS, weights=weights[:-1][key % SLOTS], minlength=number) + weights[-1]) - sigmoid(weights[-1]), 0)
     first = np.searchsorted(sentence, np.arange(number))
     last = np.searchsorted(sentence, np.arange(number), "right") - 1
     doc = w.doc[first]
