@@ -36,7 +36,7 @@ from ._text import _LANE_MASK, LAST_ID, WHITESPACE, Bytes, as_bytes, gram_hash,
 LEAST_CHUNK_BYTES, MOST_CHUNK_BYTES = 1 << 20, 16 << 20
 #: Text behind a bucket.
 LEAST_BUCKET_BYTES, MOST_BUCKET_BYTES = 2 << 20, 8 << 20
-PACK_BYTES = 32 << 20
+PACK_BYTES = 16 << 20
 #: Windows looked at in one go.
 SEGMENT = 1 << 17
 #: Anchors that stand in about this many places, or more, have their contexts cut in two.

@@ -28,7 +28,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.ui
 _S30, _S27, _S31, _S29 = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(29)
 
 
-def keep_heap(map_from: int = 8 << 20, trim_from: int = 64 << 20) -> None:
+def keep_heap(map_from: int = 8 << 20, trim_from: int = 32 << 20) -> None:
     """Let the C library reuse the memory of arrays under ``map_from`` bytes.
 
     By default every array of some hundred kilobytes is mapped and unmapped, and touching its
