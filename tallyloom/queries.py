@@ -23,8 +23,8 @@ SQL: dict[str, str] = {}
 
 ORDERS = [domain.ORDERS_SQL, domain.SPLITS_SQL]
 EVENTS = [domain.EVENTS_SQL, domain.SPLITS_SQL]
-#: Cutoff of the identity and graph queries that have SQL, in event_seq (theirs names it too). Graph queries without SQL take all events.
-CUTOFF = 6001
+#: Cutoff of the identity queries. Party tables have a made-up clock of 1..10,007 at any size, so this is a fixed share of their rows.
+CLOCK_CUTOFF = 6001
 MIN_TXN = 2
 
 
@@ -284,9 +284,10 @@ def w6(spark, d):
 
 @query("w7_last_neighbours", EVENTS, f"""
 SELECT * FROM (SELECT side, seed, neighbour, event_seq, row_number() OVER (PARTITION BY side, seed ORDER BY event_seq DESC)::INT AS nth FROM (
-  SELECT 'card' AS side, card AS seed, merchant AS neighbour, event_seq FROM fact WHERE event_seq > 0 AND event_seq < {CUTOFF} UNION ALL SELECT 'merchant', merchant, card, event_seq FROM fact WHERE event_seq > 0 AND event_seq < {CUTOFF})) WHERE nth <= 10""")
+  SELECT 'card' AS side, card AS seed, merchant AS neighbour, event_seq FROM fact UNION ALL SELECT 'merchant', merchant, card, event_seq FROM fact)) WHERE nth <= 10""")
 def w7(spark, d):
-    return windows.last_neighbours(domain.events_fact(spark, d), CUTOFF)
+    fact = domain.events_fact(spark, d)
+    return windows.last_neighbours(fact, whole_build(fact).cutoff)
 
 
 @query("j12_latest_before", EVENTS, """
@@ -305,17 +306,22 @@ def n13(spark, d):
 # -- projections and graph --------------------------------------------------------
 
 GRAPH_EDGES_SQL = f"""
-e AS (SELECT card, merchant, count(*) AS txn_count FROM fact0 WHERE event_seq < {CUTOFF} GROUP BY 1, 2),
+e AS (SELECT card, merchant, count(*) AS txn_count FROM fact0 GROUP BY 1, 2),
 bi AS (SELECT card AS a, merchant + {graph.MERCHANT_BASE} AS b, txn_count AS weight FROM e WHERE txn_count >= {MIN_TXN}),
 seen AS (SELECT DISTINCT card AS v FROM e UNION ALL SELECT DISTINCT merchant + {graph.MERCHANT_BASE} FROM e)"""
 EVENT_GRAPH = [domain.EVENTS_SQL, GRAPH_EDGES_SQL]
 
 
-def interactions(spark, d, whole: bool = False) -> DataFrame:
-    """Interaction edges of the events under CUTOFF, or of all events."""
+def whole_build(fact: DataFrame) -> plans.Build:
+    """A build that sees all of ``fact``."""
+    end = plans.resolve_cutoff("end_of_data", plans.collect_facts(plans.build_facts(fact)))
+    return plans.Build("g", end, end, end + 1, 0)
+
+
+def interactions(spark, d) -> DataFrame:
+    """Interaction edges of all events."""
     fact = domain.events_fact(spark, d)
-    end = plans.resolve_cutoff("end_of_data", plans.collect_facts(plans.build_facts(fact))) if whole else CUTOFF
-    return settle_table(agg.interaction_edges(fact, [plans.Build("g", end, end, end + 1, 0)]))
+    return settle_table(agg.interaction_edges(fact, [whole_build(fact)]))
 
 
 def seen_vertices(edges: DataFrame) -> DataFrame:
@@ -362,7 +368,7 @@ def card_edges(spark, d, least: int = 2) -> DataFrame:
 
 def whole_projection(spark, d, over: str) -> DataFrame:
     """Projected edges of all events."""
-    return settle_table(graph.project(interactions(spark, d, whole=True), over, min_txn_count=MIN_TXN))
+    return settle_table(graph.project(interactions(spark, d), over, min_txn_count=MIN_TXN))
 
 
 @query("ga2_wcc_card", [*EVENT_GRAPH, f"pr AS ({projection_sql('merchant')}), bi2 AS (SELECT * FROM pr WHERE weight >= 2)", WCC_SQL.replace("FROM bi", "FROM bi2")], "SELECT v, c_id FROM comp")
@@ -400,7 +406,7 @@ def ga5(spark, d):
 
 @query("ga6_louvain_bipartite")
 def ga6(spark, d):
-    return graph.louvain(graph.bipartite(interactions(spark, d, whole=True)), alternate=True)[0]
+    return graph.louvain(graph.bipartite(interactions(spark, d)), alternate=True)[0]
 
 
 @query("ga7_louvain_card")
@@ -424,17 +430,17 @@ fin AS (SELECT v, d, sum(x) AS x FROM (SELECT * FROM x1 UNION ALL SELECT * FROM
 nrm AS (SELECT v, sqrt(sum(x * x)) AS n FROM fin GROUP BY v)"""
 
 
-@query("ga9_fastrp_card", [*EVENT_GRAPH, f"bi3 AS ({projection_sql('merchant')}), lw AS (SELECT a AS v, b AS u FROM bi3 UNION ALL SELECT b, a FROM bi3)", fastrp_sql(8)], """
-SELECT deg.v, d, round(coalesce(x, 0) / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS x FROM deg CROSS JOIN range(0, 8) t(d) LEFT JOIN fin USING (v, d) LEFT JOIN nrm ON nrm.v = deg.v""")
+@query("ga9_fastrp_card", [*EVENT_GRAPH, f"bi3 AS ({projection_sql('merchant')}), lw AS (SELECT a AS v, b AS u FROM bi3 UNION ALL SELECT b, a FROM bi3)", fastrp_sql(32)], """
+SELECT deg.v, d, round(coalesce(x, 0) / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS x FROM deg CROSS JOIN range(0, 32) t(d) LEFT JOIN fin USING (v, d) LEFT JOIN nrm ON nrm.v = deg.v""")
 def ga9(spark, d):
     edges = ga10c(spark, d)
     seen = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().count()
-    return graph.fastrp(edges, seen, dim=8).select("v", F.posexplode("embedding").alias("d", "x")).select("v", F.col("d").cast("long").alias("d"), "x")
+    return graph.fastrp(edges, seen, dim=32).select("v", F.posexplode("embedding").alias("d", "x")).select("v", F.col("d").cast("long").alias("d"), "x")
 
 
 @query("g7_community_stats", [*EVENT_GRAPH, WCC_SQL, """
-st AS (SELECT 'card' AS t, card AS key, count(*) AS n, sum(amount::DECIMAL(18,2)) AS total, max(amount) AS hi, min(amount) AS lo FROM fact0 WHERE event_seq < 6001 GROUP BY card
-  UNION ALL SELECT 'merchant', merchant + 1000000000, count(*), sum(amount::DECIMAL(18,2)), max(amount), min(amount) FROM fact0 WHERE event_seq < 6001 GROUP BY merchant),
+st AS (SELECT 'card' AS t, card AS key, count(*) AS n, sum(amount::DECIMAL(18,2)) AS total, max(amount) AS hi, min(amount) AS lo FROM fact0 GROUP BY card
+  UNION ALL SELECT 'merchant', merchant + 1000000000, count(*), sum(amount::DECIMAL(18,2)), max(amount), min(amount) FROM fact0 GROUP BY merchant),
 j AS (SELECT c_id AS cid, t, n, total, hi, lo, bool_or(t = 'card') OVER (PARTITION BY c_id) AS hc FROM comp JOIN st ON st.key = comp.v)"""], """
 SELECT cid, CASE WHEN bool_and(t = 'card') THEN 'card' WHEN NOT any_value(hc) THEN 'merchant' ELSE 'bipartite' END AS entity_family, count(*) AS member_count,
   sum(n) FILTER (t = 'card' OR NOT hc)::BIGINT AS txn_count, (sum(total) FILTER (t = 'card' OR NOT hc))::DOUBLE AS total_amount, max(hi) FILTER (t = 'card' OR NOT hc) AS max_amount, min(lo) FILTER (t = 'card' OR NOT hc) AS min_amount,
@@ -445,14 +451,14 @@ def g7(spark, d):
     comp = graph.wcc(seen_vertices(e), graph.bipartite(e, MIN_TXN)).where("c_id >= 0")
     is_card = F.col("v") < graph.MERCHANT_BASE
     members = comp.select(F.when(is_card, "card").otherwise("merchant").alias("entity_type"), F.when(is_card, F.col("v")).otherwise(F.col("v") - graph.MERCHANT_BASE).alias("key"), F.col("c_id").alias("cid"))
-    build = [plans.Build("g", CUTOFF, CUTOFF, CUTOFF + 1, 0)]
+    build = [whole_build(fact)]
     return agg.community_stats(members, agg.transaction_stats(fact, "card", build), agg.transaction_stats(fact, "merchant", build))
 
 
-@query("g13_neighborhood_card", [*EVENT_GRAPH, f"pr AS ({projection_sql('merchant')}), lw AS (SELECT a AS v, b AS u FROM pr WHERE weight >= 2 UNION ALL SELECT b, a FROM pr WHERE weight >= 2), st AS (SELECT card, count(*) AS n FROM fact0 WHERE event_seq < {CUTOFF} GROUP BY 1)"], "SELECT v AS key, round(avg(n), 6) AS nbr_mean_txn_count, max(n)::BIGINT AS nbr_max_txn_count FROM lw JOIN st ON st.card = lw.u GROUP BY v")
+@query("g13_neighborhood_card", [*EVENT_GRAPH, f"pr AS ({projection_sql('merchant')}), lw AS (SELECT a AS v, b AS u FROM pr WHERE weight >= 2 UNION ALL SELECT b, a FROM pr WHERE weight >= 2), st AS (SELECT card, count(*) AS n FROM fact0 GROUP BY 1)"], "SELECT v AS key, round(avg(n), 6) AS nbr_mean_txn_count, max(n)::BIGINT AS nbr_max_txn_count FROM lw JOIN st ON st.card = lw.u GROUP BY v")
 def g13(spark, d):
     fact = domain.events_fact(spark, d)
-    stats = agg.transaction_stats(fact, "card", [plans.Build("g", CUTOFF, CUTOFF, CUTOFF + 1, 0)]).select(F.col("card").alias("key"), "txn_count")
+    stats = agg.transaction_stats(fact, "card", [whole_build(fact)]).select(F.col("card").alias("key"), "txn_count")
     return agg.neighborhood(ga10c(spark, d), stats, ["txn_count"], min_weight=2)
 
 
@@ -495,34 +501,34 @@ def j15(spark, d):
 # -- identity ---------------------------------------------------------------------
 
 KNOWN_SQL = f"""
-dg AS (SELECT rel, value, count(*) AS fd, count(*) FILTER (seq > 0 AND seq < {CUTOFF}) AS cd FROM pii GROUP BY 1, 2),
-known AS (SELECT party, rel, value, seq, fd, CASE rel {' '.join(f"WHEN '{r}' THEN {w}::DOUBLE" for r, w in domain.RELATIONS.items())} END AS p FROM pii JOIN dg USING (rel, value) WHERE seq > 0 AND seq < {CUTOFF} AND fd > 1 AND fd < 25000),
+dg AS (SELECT rel, value, count(*) AS fd, count(*) FILTER (seq > 0 AND seq < {CLOCK_CUTOFF}) AS cd FROM pii GROUP BY 1, 2),
+known AS (SELECT party, rel, value, seq, fd, CASE rel {' '.join(f"WHEN '{r}' THEN {w}::DOUBLE" for r, w in domain.RELATIONS.items())} END AS p FROM pii JOIN dg USING (rel, value) WHERE seq > 0 AND seq < {CLOCK_CUTOFF} AND fd > 1 AND fd < 25000),
 cand AS (SELECT DISTINCT x.party AS a, y.party AS b FROM known x JOIN known y ON x.rel = y.rel AND x.value = y.value AND x.party < y.party WHERE x.fd < 100),
 m AS (SELECT a, b, round(sum(x.p), 6) AS score, max(greatest(x.seq, y.seq)) AS resolved_at, max(greatest(x.seq, y.seq)) - min(greatest(x.seq, y.seq)) AS evidence_span, count(*) AS n_shared
   FROM cand JOIN known x ON x.party = a JOIN known y ON y.party = b AND y.rel = x.rel AND y.value = x.value GROUP BY 1, 2 HAVING round(sum(x.p), 6) > 1.0 - 1e-6)"""
-ENTITY_SQL = """
+ENTITY_SQL = f"""
 lk AS (SELECT a AS v, b AS u FROM m UNION ALL SELECT b, a FROM m),
 rc(v, r) AS (SELECT DISTINCT v, v FROM lk UNION SELECT lk.u, rc.r FROM rc JOIN lk ON lk.v = rc.v),
-ent AS (SELECT p.party, coalesce(c.r, p.party) AS re_id FROM (SELECT DISTINCT party FROM pii WHERE seq > 0 AND seq < 6001) p LEFT JOIN (SELECT v, min(r) AS r FROM rc GROUP BY v) c ON c.v = p.party)"""
+ent AS (SELECT p.party, coalesce(c.r, p.party) AS re_id FROM (SELECT DISTINCT party FROM pii WHERE seq > 0 AND seq < {CLOCK_CUTOFF}) p LEFT JOIN (SELECT v, min(r) AS r FROM rc GROUP BY v) c ON c.v = p.party)"""
 IDENTITY = [domain.PII_SQL, KNOWN_SQL]
 
 
 def matched(spark, d) -> tuple[DataFrame, DataFrame]:
     pii = settle_table(domain.party_pii(spark, d))
-    return pii, settle_table(identity.match_parties(pii, CUTOFF, domain.RELATIONS))
+    return pii, settle_table(identity.match_parties(pii, CLOCK_CUTOFF, domain.RELATIONS))
 
 
 def entities(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     pii, matches = matched(spark, d)
-    stamped = identity.stamp_provenance(matches, pii, CUTOFF)
-    return pii, matches, settle_table(identity.unify(identity.scoped_parties(pii, CUTOFF), stamped, CUTOFF))
+    stamped = identity.stamp_provenance(matches, pii, CLOCK_CUTOFF)
+    return pii, matches, settle_table(identity.unify(identity.scoped_parties(pii, CLOCK_CUTOFF), stamped, CLOCK_CUTOFF))
 
 
 @query("i2_measure_pii_degrees", IDENTITY, """
 SELECT rel, count(*) AS n_values, count(*) FILTER (fd = 1) AS degree_one, max(fd) AS max_full_degree, max(cd) AS max_cutoff_degree, sum(CASE WHEN fd < 25000 THEN fd * (fd - 1) // 2 ELSE 0 END)::BIGINT AS pairs_retained,
   sum(CASE WHEN fd >= 25000 THEN fd * (fd - 1) // 2 ELSE 0 END)::BIGINT AS pairs_dropped, count(*) FILTER ((fd > 1 AND fd < 100) <> (cd > 1 AND cd < 100)) AS disagreements FROM dg GROUP BY rel""")
 def i2(spark, d):
-    return identity.measure_degrees(domain.party_pii(spark, d), CUTOFF)
+    return identity.measure_degrees(domain.party_pii(spark, d), CLOCK_CUTOFF)
 
 
 @query("i3_match_parties", IDENTITY, "SELECT a, b, score FROM m")
@@ -538,7 +544,7 @@ def i3h(spark, d):
 @query("i4_stamp_provenance", IDENTITY, "SELECT a, b, score, resolved_at, evidence_span, n_shared FROM m")
 def i4(spark, d):
     pii, matches = matched(spark, d)
-    return identity.stamp_provenance(matches, pii, CUTOFF)
+    return identity.stamp_provenance(matches, pii, CLOCK_CUTOFF)
 
 
 @query("i5_unify_parties", [*IDENTITY, ENTITY_SQL], "SELECT party, re_id FROM ent")
@@ -563,13 +569,13 @@ def i6w(spark, d):
 @query("g8_resolved_entity_stats", [*IDENTITY, ENTITY_SQL, domain.PARTY_CARD_SQL.strip(), domain.EVENTS_SQL.strip()], f"""
 SELECT re_id, member_count, coalesce(np, 0) AS distinct_pii_count, coalesce(nc, 0) AS connected_card_count, coalesce(nm, 0) AS connected_merchant_count, sc AS max_pair_score
 FROM (SELECT re_id, count(*) AS member_count FROM ent GROUP BY 1)
-LEFT JOIN (SELECT re_id, count(DISTINCT rel || '|' || value) AS np FROM ent JOIN pii USING (party) WHERE seq > 0 AND seq < {CUTOFF} GROUP BY 1) USING (re_id)
+LEFT JOIN (SELECT re_id, count(DISTINCT rel || '|' || value) AS np FROM ent JOIN pii USING (party) WHERE seq > 0 AND seq < {CLOCK_CUTOFF} GROUP BY 1) USING (re_id)
 LEFT JOIN (SELECT re_id, count(DISTINCT card) AS nc FROM ent JOIN party_card USING (party) GROUP BY 1) USING (re_id)
-LEFT JOIN (SELECT re_id, count(DISTINCT merchant) AS nm FROM ent JOIN party_card USING (party) JOIN fact0 USING (card) WHERE event_seq < {CUTOFF} GROUP BY 1) USING (re_id)
+LEFT JOIN (SELECT re_id, count(DISTINCT merchant) AS nm FROM ent JOIN party_card USING (party) JOIN fact0 USING (card) GROUP BY 1) USING (re_id)
 LEFT JOIN (SELECT x.re_id, max(score) AS sc FROM m JOIN ent x ON x.party = a JOIN ent y ON y.party = b WHERE x.re_id = y.re_id GROUP BY 1) USING (re_id)""")
 def g8(spark, d):
     pii, matches, ent = entities(spark, d)
-    return identity.entity_stats(ent, pii, domain.party_card(spark, d), interactions(spark, d), matches, CUTOFF)
+    return identity.entity_stats(ent, pii, domain.party_card(spark, d), interactions(spark, d), matches, CLOCK_CUTOFF)
 
 
 @query("i8_stamp_card_keys", [*IDENTITY, ENTITY_SQL, domain.PARTY_CARD_SQL.strip()], "SELECT card, min(re_id) AS re_id, min(re_id) <> max(re_id) AS conflict FROM ent JOIN party_card USING (party) GROUP BY 1")
@@ -578,12 +584,12 @@ def i8(spark, d):
 
 
 @query("h1_card_home_distance", [domain.EVENTS_SQL, domain.PARTY_CARD_SQL.strip(), domain.HOMES_SQL.strip(), f"""
-hm AS (SELECT card, arg_max(struct_pack(la := lat, lo := lon), seq * 1000 + zip) AS h FROM homes JOIN party_card USING (party) WHERE seq < {CUTOFF} AND lat IS NOT NULL GROUP BY card),
-pr AS (SELECT DISTINCT card, merchant FROM fact0 WHERE event_seq < {CUTOFF})"""], """
+hm AS (SELECT card, arg_max(struct_pack(la := lat, lo := lon), seq * 1000 + zip) AS h FROM homes JOIN party_card USING (party) WHERE seq < {CLOCK_CUTOFF} AND lat IS NOT NULL GROUP BY card),
+pr AS (SELECT DISTINCT card, merchant FROM fact0)"""], """
 SELECT pr.card, pr.merchant, coalesce(round(2 * 6371.0088 * asin(sqrt(least(pow(sin((radians(s.lat) - radians(h.la)) / 2), 2) + cos(radians(h.la)) * cos(radians(s.lat)) * pow(sin((radians(s.lon) - radians(h.lo)) / 2), 2), 1.0))), 6), -1) AS home_distance_km
 FROM pr LEFT JOIN hm USING (card) LEFT JOIN sites s ON s.merchant = pr.merchant""")
 def h1(spark, d):
-    return identity.home_distance(interactions(spark, d), domain.party_card(spark, d), domain.homes(spark, d), domain.sites(spark, d), CUTOFF)
+    return identity.home_distance(interactions(spark, d), domain.party_card(spark, d), domain.homes(spark, d), domain.sites(spark, d), CLOCK_CUTOFF)
 
 
 # -- matrix -----------------------------------------------------------------------
@@ -662,10 +668,10 @@ def time_parts(spark, d):
 
 @query("n3_recent_neighbours", EVENTS, """
 SELECT seed_id, node, seed_time, dst, edge_time, nth FROM (SELECT s.event_seq AS seed_id, s.card AS node, s.event_seq AS seed_time, e.merchant AS dst, e.event_seq AS edge_time, row_number() OVER (PARTITION BY s.event_seq, s.card ORDER BY e.event_seq DESC, e.merchant DESC)::INT AS nth
-  FROM fact s JOIN fact e ON e.card = s.card AND e.event_seq < s.event_seq WHERE s.event_seq % 50 = 0) WHERE nth <= 5""")
+  FROM fact s JOIN fact e ON e.card = s.card AND e.event_seq < s.event_seq) WHERE nth <= 5""")
 def n3(spark, d):
     fact = domain.events_fact(spark, d)
-    seeds = fact.where("event_seq % 50 = 0").select(F.col("event_seq").alias("seed_id"), F.col("card").alias("node"), F.col("event_seq").alias("time"))
+    seeds = fact.select(F.col("event_seq").alias("seed_id"), F.col("card").alias("node"), F.col("event_seq").alias("time"))
     edges = fact.select(F.col("card").alias("src"), F.col("merchant").alias("dst"), F.col("event_seq").alias("time"))
     return sampling.neighbours_before(seeds, edges, 5)
 
@@ -675,11 +681,16 @@ def sampler_edges(fact: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "time"))
 
 
-@query("n3_two_hop_sample")
+@query("n3_two_hop_sample", [*EVENTS, f"""
+ed AS (SELECT card AS src, merchant + {graph.MERCHANT_BASE} AS dst, event_seq AS time FROM fact UNION ALL SELECT merchant + {graph.MERCHANT_BASE}, card, event_seq FROM fact),
+h1 AS (SELECT s.event_seq AS seed_id, s.card AS node, s.event_seq AS seed_time, e.dst, e.time AS edge_time, row_number() OVER (PARTITION BY s.event_seq ORDER BY e.time DESC, e.dst DESC) AS nth FROM fact s JOIN ed e ON e.src = s.card AND e.time < s.event_seq QUALIFY nth <= 5),
+fr AS (SELECT DISTINCT seed_id, dst AS node, seed_time FROM h1),
+h2 AS (SELECT seed_id, node, seed_time, e.dst, e.time AS edge_time, row_number() OVER (PARTITION BY seed_id, node ORDER BY e.time DESC, e.dst DESC) AS nth FROM fr JOIN ed e ON e.src = fr.node AND e.time < fr.seed_time QUALIFY nth <= 3)"""], """
+SELECT 1 AS hop, seed_id, node, seed_time, dst, edge_time, nth::INT AS nth FROM h1 UNION ALL SELECT 2, seed_id, node, seed_time, dst, edge_time, nth::INT FROM h2""")
 def n3b(spark, d):
     fact = domain.events_fact(spark, d)
     seeds = fact.select(F.col("event_seq").alias("seed_id"), F.col("card").alias("node"), F.col("event_seq").alias("time"))
-    return sampling.sample_hops(seeds, sampler_edges(fact), (5, 3))
+    return sampling.sample_hops(seeds, sampler_edges(fact), (5, 3)).select("hop", "seed_id", "node", "seed_time", "dst", "edge_time", "nth")
 
 
 @query("n3_uniform_sample_leaks", None, "SELECT 0::BIGINT AS future_edges_MUST_BE_ZERO")
@@ -825,10 +836,10 @@ def s18(spark, d):
 
 
 @query("s19_node_features", EVENT_GRAPH, f"""
-SELECT i AS idx, n AS txn_count FROM (SELECT card, row_number() OVER (ORDER BY card) - 1 AS i FROM (SELECT DISTINCT card FROM fact0)) LEFT JOIN (SELECT card, count(*)::BIGINT AS n FROM fact0 WHERE event_seq < {CUTOFF} GROUP BY 1) USING (card)""")
+SELECT i AS idx, n AS txn_count FROM (SELECT card, row_number() OVER (ORDER BY card) - 1 AS i FROM (SELECT DISTINCT card FROM fact0)) LEFT JOIN (SELECT card, count(*)::BIGINT AS n FROM fact0 GROUP BY 1) USING (card)""")
 def s19(spark, d):
     fact = domain.events_fact(spark, d)
-    stats = agg.transaction_stats(fact, "card", [plans.Build("g", CUTOFF, CUTOFF, CUTOFF + 1, 0)]).select("card", "txn_count")
+    stats = agg.transaction_stats(fact, "card", [whole_build(fact)]).select("card", "txn_count")
     rows = sampling.dense_ids(fact, "card").join(stats, "card", "left").select("idx", F.coalesce("txn_count", F.lit(-1)).alias("txn_count"))
     return scalars.sentinel_to_null(rows, ["txn_count"])
 
@@ -850,10 +861,10 @@ def s22(spark, d):
 
 @query("s25_window_neighbours", EVENTS, f"""
 SELECT side, count(*) AS n, count(DISTINCT seed) AS seeds, count(*) FILTER (neighbour IS NULL) AS neighbour_unmapped FROM (
-  SELECT side, seed, neighbour, row_number() OVER (PARTITION BY side, seed ORDER BY event_seq DESC) AS nth FROM (SELECT 'card' AS side, card AS seed, merchant AS neighbour, event_seq FROM fact WHERE event_seq < {CUTOFF} UNION ALL SELECT 'merchant', merchant, card, event_seq FROM fact WHERE event_seq < {CUTOFF})) WHERE nth <= 10 GROUP BY side""")
+  SELECT side, seed, neighbour, row_number() OVER (PARTITION BY side, seed ORDER BY event_seq DESC) AS nth FROM (SELECT 'card' AS side, card AS seed, merchant AS neighbour, event_seq FROM fact UNION ALL SELECT 'merchant', merchant, card, event_seq FROM fact)) WHERE nth <= 10 GROUP BY side""")
 def s25(spark, d):
     fact = domain.events_fact(spark, d)
-    found = windows.last_neighbours(fact, CUTOFF)
+    found = windows.last_neighbours(fact, whole_build(fact).cutoff)
     shops = sampling.map_ids(found.where("side = 'card'"), "neighbour", sampling.dense_ids(fact, "merchant"), "merchant", "idx2")
     cards = sampling.map_ids(found.where("side = 'merchant'"), "neighbour", sampling.dense_ids(fact, "card"), "card", "idx2")
     return shops.unionByName(cards).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seed").alias("seeds"), F.count_if(F.col("idx2").isNull()).alias("neighbour_unmapped"))
@@ -931,12 +942,12 @@ def ga8m(spark, d):
     return graph.kcore(whole_projection(spark, d, "card"), max_core=None)
 
 
-@query("ga9_fastrp_merchant", [*EVENT_GRAPH, f"bi3 AS ({projection_sql('card')}), lw AS (SELECT a AS v, b AS u FROM bi3 UNION ALL SELECT b, a FROM bi3)", fastrp_sql(8)], """
-SELECT deg.v, d, round(coalesce(x, 0) / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS x FROM deg CROSS JOIN range(0, 8) t(d) LEFT JOIN fin USING (v, d) LEFT JOIN nrm ON nrm.v = deg.v""")
+@query("ga9_fastrp_merchant", [*EVENT_GRAPH, f"bi3 AS ({projection_sql('card')}), lw AS (SELECT a AS v, b AS u FROM bi3 UNION ALL SELECT b, a FROM bi3)", fastrp_sql(32)], """
+SELECT deg.v, d, round(coalesce(x, 0) / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS x FROM deg CROSS JOIN range(0, 32) t(d) LEFT JOIN fin USING (v, d) LEFT JOIN nrm ON nrm.v = deg.v""")
 def ga9m(spark, d):
     edges = ga10m(spark, d)
     seen = edges.select(F.explode(F.array("a", "b")).alias("v")).distinct().count()
-    return graph.fastrp(edges, seen, dim=8).select("v", F.posexplode("embedding").alias("d", "x")).select("v", F.col("d").cast("long").alias("d"), "x")
+    return graph.fastrp(edges, seen, dim=32).select("v", F.posexplode("embedding").alias("d", "x")).select("v", F.col("d").cast("long").alias("d"), "x")
 
 
 @query("n12_stream_velocity", [*EVENTS, VELOCITY_SQL], """
