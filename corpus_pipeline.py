@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import exact_dedup, mixing, packing, simhash, toxicity
-from tallyloom.operators.components import shared_dir
+from tallyloom.operators.components import shared_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +49,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``; results in between go to the shared checkpoint folder."""
-    shared_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus_pipeline_{uuid.uuid4().hex}"
+    """All stages on the documents of ``sf_dir``; results in between go to the shared checkpoint folder, and go from there once the next one is written."""
+    folder, before = shared_path(spark, "corpus_pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}_{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -43,3 +43,13 @@ def score_trees(model, rows: DataFrame, columns: list[str]) -> DataFrame:
 
     ready = VectorAssembler(inputCols=columns, outputCol="x").transform(rows)
     return model.transform(ready).select("event_seq", F.col("y").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
+
+
+def round_trip(model, rows: DataFrame, columns: list[str], path: str, tolerance: float = 1e-12) -> DataFrame:
+    """One row: rows scored, the largest difference between ``model`` and itself saved and loaded again, and how many differ by more than ``tolerance``."""
+    from pyspark.ml.classification import GBTClassificationModel
+
+    model.write().overwrite().save(path)
+    again = score_trees(GBTClassificationModel.load(path), rows, columns).select("event_seq", F.col("score").alias("again"))
+    gap = F.abs(F.col("score") - F.col("again"))
+    return score_trees(model, rows, columns).join(again, "event_seq").agg(F.count(F.lit(1)).alias("rows"), F.max(gap).alias("max_difference"), F.count_if(gap > tolerance).alias("differing_MUST_BE_ZERO"))

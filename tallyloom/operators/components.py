@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder."""
+    shared_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def settle_table(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder."""
     shared_dir(df.sparkSession)
@@ -40,9 +46,7 @@ def settle_state(df: DataFrame, *parts: str) -> DataFrame:
     loop they soon have millions of digits. A written table has its true size. ``parts`` are
     columns whose values get folders of their own, without a shuffle.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/state-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "state")
     (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from .functions import metrics, ml, scalars
 from .operators import aggregates as agg
-from .operators import graph, identity, matrix, sampling, windows
-from .operators.components import settle_state, settle_table
+from .operators import exports, graph, identity, matrix, sampling, windows
+from .operators.components import settle_state, settle_table, shared_path
 from .plans import builds as plans
 from .sources import domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: The SQL of each query without its CTEs.
+BODIES: dict[str, str] = {}
 
 ORDERS = [domain.ORDERS_SQL, domain.SPLITS_SQL]
 EVENTS = [domain.EVENTS_SQL, domain.SPLITS_SQL]
@@ -32,6 +34,7 @@ def query(name: str, ctes: list[str] | None = None, body: str | None = None):
     def add(f):
         QUERIES[name] = f
         if body is not None:
+            BODIES[name] = body
             SQL[name] = "WITH RECURSIVE " + ",".join(c.strip().rstrip(",") for c in ctes) + "\n" + body if ctes else body
         return f
 
@@ -438,10 +441,13 @@ def ga9(spark, d):
     return graph.fastrp(edges, seen, dim=32).select("v", F.posexplode("embedding").alias("d", "x")).select("v", F.col("d").cast("long").alias("d"), "x")
 
 
-@query("g7_community_stats", [*EVENT_GRAPH, WCC_SQL, """
+COMMUNITY = [*EVENT_GRAPH, WCC_SQL, """
 st AS (SELECT 'card' AS t, card AS key, count(*) AS n, sum(amount::DECIMAL(18,2)) AS total, max(amount) AS hi, min(amount) AS lo FROM fact0 GROUP BY card
   UNION ALL SELECT 'merchant', merchant + 1000000000, count(*), sum(amount::DECIMAL(18,2)), max(amount), min(amount) FROM fact0 GROUP BY merchant),
-j AS (SELECT c_id AS cid, t, n, total, hi, lo, bool_or(t = 'card') OVER (PARTITION BY c_id) AS hc FROM comp JOIN st ON st.key = comp.v)"""], """
+j AS (SELECT c_id AS cid, t, n, total, hi, lo, bool_or(t = 'card') OVER (PARTITION BY c_id) AS hc FROM comp JOIN st ON st.key = comp.v)"""]
+
+
+@query("g7_community_stats", COMMUNITY, """
 SELECT cid, CASE WHEN bool_and(t = 'card') THEN 'card' WHEN NOT any_value(hc) THEN 'merchant' ELSE 'bipartite' END AS entity_family, count(*) AS member_count,
   sum(n) FILTER (t = 'card' OR NOT hc)::BIGINT AS txn_count, (sum(total) FILTER (t = 'card' OR NOT hc))::DOUBLE AS total_amount, max(hi) FILTER (t = 'card' OR NOT hc) AS max_amount, min(lo) FILTER (t = 'card' OR NOT hc) AS min_amount,
   count(*) FILTER (t = 'card') AS distinct_active_cards, count(*) FILTER (t = 'merchant') AS distinct_active_merchants, round((sum(total) FILTER (t = 'card' OR NOT hc))::DOUBLE / sum(n) FILTER (t = 'card' OR NOT hc), 6) AS avg_amount FROM j GROUP BY cid""")
@@ -566,7 +572,10 @@ def i6w(spark, d):
     return identity.worst_values(ent, pii)
 
 
-@query("g8_resolved_entity_stats", [*IDENTITY, ENTITY_SQL, domain.PARTY_CARD_SQL.strip(), domain.EVENTS_SQL.strip()], f"""
+ENTITIES = [*IDENTITY, ENTITY_SQL, domain.PARTY_CARD_SQL.strip(), domain.EVENTS_SQL.strip()]
+
+
+@query("g8_resolved_entity_stats", ENTITIES, f"""
 SELECT re_id, member_count, coalesce(np, 0) AS distinct_pii_count, coalesce(nc, 0) AS connected_card_count, coalesce(nm, 0) AS connected_merchant_count, sc AS max_pair_score
 FROM (SELECT re_id, count(*) AS member_count FROM ent GROUP BY 1)
 LEFT JOIN (SELECT re_id, count(DISTINCT rel || '|' || value) AS np FROM ent JOIN pii USING (party) WHERE seq > 0 AND seq < {CLOCK_CUTOFF} GROUP BY 1) USING (re_id)
@@ -583,9 +592,12 @@ def i8(spark, d):
     return identity.stamp_keys(entities(spark, d)[2], domain.party_card(spark, d), "card")
 
 
-@query("h1_card_home_distance", [domain.EVENTS_SQL, domain.PARTY_CARD_SQL.strip(), domain.HOMES_SQL.strip(), f"""
+HOME_DISTANCE = [domain.EVENTS_SQL, domain.PARTY_CARD_SQL.strip(), domain.HOMES_SQL.strip(), f"""
 hm AS (SELECT card, arg_max(struct_pack(la := lat, lo := lon), seq * 1000 + zip) AS h FROM homes JOIN party_card USING (party) WHERE seq < {CLOCK_CUTOFF} AND lat IS NOT NULL GROUP BY card),
-pr AS (SELECT DISTINCT card, merchant FROM fact0)"""], """
+pr AS (SELECT DISTINCT card, merchant FROM fact0)"""]
+
+
+@query("h1_card_home_distance", HOME_DISTANCE, """
 SELECT pr.card, pr.merchant, coalesce(round(2 * 6371.0088 * asin(sqrt(least(pow(sin((radians(s.lat) - radians(h.la)) / 2), 2) + cos(radians(h.la)) * cos(radians(s.lat)) * pow(sin((radians(s.lon) - radians(h.lo)) / 2), 2), 1.0))), 6), -1) AS home_distance_km
 FROM pr LEFT JOIN hm USING (card) LEFT JOIN sites s ON s.merchant = pr.merchant""")
 def h1(spark, d):
@@ -966,3 +978,111 @@ def n12(spark, d):
     made = stream_velocity(spark.readStream.schema(rows.schema).parquet(f"{home}/in"))
     made.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{home}/out")
+
+
+# -- exports of one build, gates and round trips ---------------------------------------
+
+
+def body_of(name: str) -> str:
+    """Another query's SQL without its CTEs, as a subquery."""
+    return f"({BODIES[name]})"
+
+
+@query("s6_category_features", ORDERS, f"""
+SELECT category, build_id, distinct_merchant_count, txn_count, total_txn_amount AS total_amount, max_txn_amount, min_txn_amount, avg_txn_amount FROM {body_of('g3_merchant_category_stats')} WHERE build_id = 'test'""")
+def s6(spark, d):
+    return exports.category_features(g3(spark, d), "test")
+
+
+@query("s7_community_features", COMMUNITY, f"""
+SELECT cid, 'whole' AS build_id, entity_family, member_count, txn_count, total_amount, max_amount, min_amount, avg_amount FROM {body_of('g7_community_stats')}""")
+def s7(spark, d):
+    return exports.community_features(g7(spark, d), "whole")
+
+
+@query("s8_entity_features", ENTITIES, f"""
+SELECT re_id, 'whole' AS build_id, member_count, distinct_pii_count, connected_card_count, connected_merchant_count, max_pair_score FROM {body_of('g8_resolved_entity_stats')} WHERE member_count > 0""")
+def s8(spark, d):
+    return exports.entity_features(g8(spark, d), "whole")
+
+
+@query("s9_pair_features", HOME_DISTANCE, f"SELECT card, merchant, 'whole' AS build_id, home_distance_km FROM {body_of('h1_card_home_distance')}")
+def s9(spark, d):
+    return exports.pair_features(h1(spark, d), "whole")
+
+
+@query("s9_pair_counts", HOME_DISTANCE, f"SELECT count(*) AS rows_returned, count(*) FILTER (home_distance_km < 0) AS pairs_missing_geography FROM {body_of('h1_card_home_distance')}")
+def s9c(spark, d):
+    return exports.pair_counts(s9(spark, d))
+
+
+@query("s15_embedding_features", [*EVENT_GRAPH, f"bi2 AS ({projection_sql('merchant')}), lw AS (SELECT a AS v, b AS u, weight FROM bi2 UNION ALL SELECT b, a, weight FROM bi2)", pagerank_sql(5), WCC_SQL.replace("FROM bi", "FROM bi2"), """
+f AS (SELECT v, s AS pagerank, count(*) OVER (PARTITION BY c_id) AS c_size, n AS txn_count FROM p5 JOIN comp USING (v) JOIN (SELECT card AS v, count(*) AS n FROM fact0 GROUP BY 1) USING (v))"""], """
+SELECT lw.v, 'whole' AS build_id, 32 AS dimensions, round(avg(pagerank), 6) AS nbr_pagerank_mean, round(max(pagerank), 6) AS nbr_pagerank_max, round(avg(c_size), 6) AS nbr_c_size_mean, max(c_size)::DOUBLE AS nbr_c_size_max,
+  round(avg(txn_count), 6) AS nbr_txn_count_mean, max(txn_count)::DOUBLE AS nbr_txn_count_max FROM lw JOIN f ON f.v = lw.u GROUP BY lw.v""")
+def s15(spark, d):
+    """The vectors themselves are held against SQL by ga9; here their number of dimensions."""
+    fact, edges = domain.events_fact(spark, d), settle_table(ga10c(spark, d))
+    vertices = settle_table(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct())
+    stats = agg.transaction_stats(fact, "card", [whole_build(fact)]).select(F.col("card").alias("v"), "txn_count")
+    known = graph.pagerank(edges, max_change=0.0, max_iteration=5).join(graph.wcc(vertices, edges).select("v", "c_size"), "v").join(stats, "v")
+    out = exports.embedding_features(graph.fastrp(edges, vertices.count(), dim=32), edges, known, "whole")
+    return out.withColumn("dimensions", F.size("fastrp")).drop("fastrp")
+
+
+@query("s16_temporal_export", ORDERS, "SELECT count(*) AS rows_expected, count(*) AS rows_written, count(*) - count(DISTINCT event_seq) AS \"repeated_MUST_BE_ZERO\", 0::BIGINT AS \"truncated_MUST_BE_ZERO\" FROM fact")
+def s16(spark, d):
+    fact = settle_table(domain.orders_fact(spark, d))
+    return exports.write_counted(windows.velocity(fact), shared_path(spark, "temporal"), fact.count())
+
+
+@query("ga12_ensure_target_edges", EVENTS, "SELECT split_id, count(*) AS edges, count(DISTINCT card) AS cards FROM fact GROUP BY split_id")
+def ga12(spark, d):
+    """Written once, found the second time."""
+    edges = settle_table(domain.events_fact(spark, d).select("card", "merchant", "event_seq", "split_id"))
+    path = shared_path(spark, "targets")
+    exports.ensure_target_edges(edges, path)
+    return exports.ensure_target_edges(edges, path).groupBy("split_id").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("card").alias("cards"))
+
+
+@query("i1_reset_dry_run", [*IDENTITY, ENTITY_SQL], """SELECT 'matches' AS "table", count(*) AS rows FROM m UNION ALL SELECT 'members', count(*) FROM ent UNION ALL SELECT 'entities', count(DISTINCT re_id) FROM ent""")
+def i1(spark, d):
+    _, matches, ent = entities(spark, d)
+    return exports.reset_dry_run({"matches": matches, "members": ent, "entities": ent.select("re_id").distinct()})
+
+
+CSR_SQL = "sl AS (SELECT card AS src, event_seq AS time, merchant AS dst, row_number() OVER (ORDER BY card, event_seq, merchant) - 1 AS slot FROM fact)"
+
+
+@query("n2_timed_csr", [*EVENTS, CSR_SQL], 'SELECT src, min(slot) AS "begin", max(slot) + 1 AS "end", count(*) AS edges, min(time) AS first_time, max(time) AS last_time FROM sl GROUP BY src')
+def n2(spark, d):
+    return csr(spark, d)[1]
+
+
+@query("n2_csr_invariants", EVENTS, 'SELECT 0::BIGINT AS "broken_ranges_MUST_BE_ZERO", count(*) AS edges, 0::BIGINT AS "time_goes_back_MUST_BE_ZERO" FROM fact')
+def n2i(spark, d):
+    return exports.check_csr(*csr(spark, d))
+
+
+def csr(spark, d):
+    return exports.timed_csr(domain.events_fact(spark, d).select(F.col("card").alias("src"), F.col("event_seq").alias("time"), F.col("merchant").alias("dst")))
+
+
+@query("m6_threshold_from_validation", [*ORDERS, """
+gr AS (SELECT floor(amount / 100) AS score, sum(is_fraud) AS pos, count(*) AS n FROM fact WHERE split_id = 1 GROUP BY 1),
+cu AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS al, sum(pos) OVER () AS tot FROM gr),
+th AS (SELECT score AS t FROM cu ORDER BY 2 * tp / (al + tot)::DOUBLE DESC, score DESC LIMIT 1)"""], """
+SELECT t AS threshold, tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 6) AS f1
+FROM (SELECT t, count(*) FILTER (s >= t AND is_fraud = 1) AS tp, count(*) FILTER (s >= t AND is_fraud = 0) AS fp, count(*) FILTER (s < t AND is_fraud = 1) AS fn, count(*) FILTER (s < t AND is_fraud = 0) AS tn FROM (SELECT floor(amount / 100) AS s, is_fraud FROM fact WHERE split_id = 2), th GROUP BY t)""")
+def m6v(spark, d):
+    """The threshold of the best F1 on validation rows, applied to test rows."""
+    fact = settle_table(domain.orders_fact(spark, d).select("event_seq", "split_id", F.col("is_fraud").alias("y"), F.floor(F.col("amount") / 100).cast("double").alias("score")))
+    threshold = metrics.best_f1(fact.where("split_id = 1")).first()["threshold"]
+    return metrics.confusion(fact.where("split_id = 2"), threshold).withColumn("threshold", F.lit(threshold))
+
+
+@query("m12_model_round_trip")
+def m12(spark, d):
+    rows = ml.features(domain.events_fact(spark, d), ["click", "purchase", "view"])
+    columns = [c for c in rows.columns if c not in ("event_seq", "split_id", "y")]
+    return ml.round_trip(ml.train_trees(rows, columns), rows.where("split_id = 2"), columns, shared_path(spark, "model"))
