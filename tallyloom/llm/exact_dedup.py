@@ -2,9 +2,9 @@
 
 Pass one sets each text's bit and learns which bits were set more than once. Only rows whose
 bit was ("possibly repeated") take part in the shuffle of pass two; all others pass straight
-through. The filter has some 16 bits a row. Rows are kept by range of their hash, without a
-shuffle, and every range has a filter of ``FILTER_BYTES`` at most, which goes to the tasks
-that read the range; more rows mean more ranges. A filter is built in segments that are merged apart.
+through. The filter has some 16 bits a row, ``FILTER_BYTES`` at most. More rows than that serves
+are kept by range of their hash, without a shuffle, and every range has a filter of its own,
+which goes to the tasks that read the range. A filter is built in segments that are merged apart.
 """
 
 from __future__ import annotations
@@ -70,6 +70,9 @@ def possibly_repeated(rows: DataFrame, n_rows: int, filter_bytes: int) -> DataFr
     """``rows`` (with a hash ``h``) and the column ``maybe``, false only where no other row has the same hash. No row is shuffled."""
     ranges = max(1, -(-n_rows * BITS_A_ROW // (8 * filter_bytes)))
     segments = max(1, -(-n_rows * BITS_A_ROW // (ranges * SEGMENT_BITS)))
+    if ranges == 1:
+        # One filter serves every task, so the rows need not be kept by range.
+        return rows.withColumn("maybe", _tester(settle_table(rows.select("h")), segments)("h"))
     stored = settle_state(rows.withColumn("range", F.pmod(F.shiftright("h", 40), F.lit(ranges)).cast("int")), "range")
     out = None
     for k in range(ranges):
@@ -103,7 +106,7 @@ def exact_groups(docs: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame
     ``doc_id`` and ``text`` only. An empty table gives an empty result.
     """
     total = docs.count()
-    numbered = digests(docs).withColumn("n", F.monotonically_increasing_id())
+    numbered = settle_table(digests(docs).withColumn("n", F.monotonically_increasing_id()))
     rows = settle_table(possibly_repeated(numbered, total, filter_bytes))
     sha = F.lower(F.hex("sha")).alias("text_sha256")
     alone = rows.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
