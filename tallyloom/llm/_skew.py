@@ -22,7 +22,7 @@ def look_up(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int
     return few.unionByName(marked.where("__hot IS NULL").drop("__hot").join(groups.where(F.col(count) <= large), key))
 
 
-def running_total(rows: DataFrame, key: str, order: list[str], values: dict[str, str], total: int, block: int = 1024) -> DataFrame:
+def running_total(rows: DataFrame, key: str, order: list[str], values: dict[str, str], total: int, block: int = 256) -> DataFrame:
     """``rows`` with sums over the rows of the same key that come before; ``values`` maps new columns to the summed ones.
 
     Rows are dealt into blocks of about ``block`` rows of one key by a hash of ``order``, blocks into
