@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components, settle_table
@@ -66,15 +66,25 @@ def fingerprint(column: pa.Array, n: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, n: int = SHINGLE, named: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long; if ``named``, also h1 and h2, two hashes of the text."""
+    names = ["h1", "h2"] if named else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_pieces(batch):
-                yield pa.record_batch([id_column(ids(piece.column("doc_id"))), pa.array(fingerprint(piece.column("text"), n).view(np.int64))], names=["doc_id", "fp"])
+                fp = pa.array(fingerprint(piece.column("text"), n).view(np.int64))
+                yield pa.record_batch([id_column(ids(piece.column("doc_id"))), fp, *[piece.column(h) for h in names]], names=["doc_id", "fp", *names])
 
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "cast(text AS string) AS text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if named:
+        rows = rows.select("*", *[h.alias(name) for h, name in zip(text_hashes(F.col("text")), names)])
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", "fp", *names]))
+
+
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes under different seeds."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
 
 # -- links -------------------------------------------------------------------
@@ -208,17 +218,17 @@ def links(prints: DataFrame, count: int, bits: int = BITS) -> DataFrame:
     return found.where("tile IS NULL").select("a", "b").unionByName(tiles)
 
 
-def _grouped(docs: DataFrame, bits: int, n: int) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id and root, the component's least fingerprint."""
+def _grouped(docs: DataFrame, bits: int, n: int, named: bool = False) -> DataFrame:
+    """One row per row of ``docs``: the columns of ``fingerprints``, component_id and root, the component's least fingerprint."""
     if bits != BITS:
         raise ValueError("the grid is laid out for 4 bits")
-    rows = settle_table(fingerprints(docs, n))
+    rows = settle_table(fingerprints(docs, n, named))
     prints = settle_table(rows.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("size")))
     roots = settle_table(components(links(prints, prints.count(), bits)))
     own = settle_table(prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "doc", "size", F.coalesce("root", "fp").alias("root")))
     tops = own.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = settle_table(own.join(settle_table(tops), "root").select("fp", "size", "component_id", "root"))
-    return look_up(rows, named, "fp", "size", rows.count()).select("doc_id", "fp", "component_id", "root")
+    known = settle_table(own.join(settle_table(tops), "root").select("fp", "size", "component_id", "root"))
+    return look_up(rows, known, "fp", "size", rows.count()).select(*rows.columns, "component_id", "root")
 
 
 def near_groups(docs: DataFrame, bits: int = BITS, n: int = SHINGLE) -> DataFrame:
@@ -237,26 +247,24 @@ def keep_one(docs: DataFrame, bits: int = BITS, n: int = SHINGLE) -> DataFrame:
 
     Rows without a doc_id stay only where their whole component has none, and then one of
     them. Rows that repeat their component's smallest doc_id stay, too. A row goes by its doc_id
-    and fingerprint, so rows of other components that share its doc_id, or have none, are left.
+    and two hashes of its text, so rows of other components that share its doc_id, or have none,
+    are left, and fingerprints are computed once.
     """
-
-    @F.arrow_udf("long")
-    def print_of(text: pa.Array) -> pa.Array:
-        pieces = text_pieces(pa.record_batch([text], names=["text"]))
-        return pa.array(np.concatenate([np.zeros(0, np.int64), *(fingerprint(p.column("text"), n).view(np.int64) for p in pieces)]))
-
-    lost = F.when(F.col("component_id").isNull(), F.col("fp") != F.col("root")).otherwise(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    grouped = settle_table(_grouped(docs, bits, n, named=True))
     tag = f"_{uuid.uuid4().hex[:8]}"
-    gone = settle_table(_grouped(docs, bits, n).where(lost).select(F.col("doc_id").alias(f"id{tag}"), F.col("fp").alias(f"gone{tag}")).distinct())
+    keys = {c: f"{c}{tag}" for c in ("h1", "h2")}
+    gone = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias(f"id{tag}"), *[F.col(c).alias(f"gone_{k}") for c, k in keys.items()]).distinct()
+    # Of a component without any id, the text with the least hashes.
+    nameless = grouped.where("component_id IS NULL").groupBy("root").agg(F.min(F.struct("h1", "h2")).alias("h"))
+    nameless = nameless.select(*[F.col(f"h.{c}").alias(f"one_{k}") for c, k in keys.items()])
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(f"row{tag}"))
     row, doc = F.col(f"row{tag}"), F.col(f"row{tag}.doc_id").cast("long")
-    fp = print_of(F.col(f"row{tag}.text").cast("string")).alias(f"fp{tag}")
-    same = F.col(f"fp{tag}") == F.col(f"gone{tag}")
-    known = whole.where(doc.isNotNull()).select(row, fp).join(gone, (doc == F.col(f"id{tag}")) & same, "left_anti")
-    # What is left of the others is of components without any id, by their least fingerprint.
-    others = whole.where(doc.isNull()).select(row, fp).join(gone.where(f"id{tag} IS NULL"), same, "left_anti")
-    one = others.groupBy(f"fp{tag}").agg(F.first(row).alias(f"row{tag}"))
-    return known.select(row).unionByName(one.select(row)).select(f"row{tag}.*")
+    whole = whole.select(row, *[h.alias(k) for h, k in zip(text_hashes(F.col(f"row{tag}.text").cast("string")), keys.values())])
+    same = lambda kind: [F.col(k) == F.col(f"{kind}_{k}") for k in keys.values()]
+    named = whole.where(doc.isNotNull()).join(gone, [doc == F.col(f"id{tag}"), *same("gone")], "left_anti")
+    others = whole.where(doc.isNull()).join(nameless, same("one"), "left_semi")
+    one = others.groupBy(*keys.values()).agg(F.first(row).alias(f"row{tag}"))
+    return named.select(row).unionByName(one.select(row)).select(f"row{tag}.*")
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

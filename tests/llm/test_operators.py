@@ -230,6 +230,14 @@ def test_near_groups(docs):
     assert {r["doc_id"] for r in kept.collect()} == set(least.values())
 
 
+def test_keep_one_by_whole_rows(spark):
+    a, b, u, v = "one two three four five six", "some other words stand here now", "a text with no number at all", "alone among many rows it stays"
+    rows = [(5, a, 1), (7, a, 2), (7, b, 3), (None, a, 4), (None, u, 5), (None, u, 6), (9, None, 7), (None, "", 8), (5, a, 9), (3, v, 10)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, h1 long")).collect()
+    assert sorted(r["h1"] for r in kept if r["h1"] not in (5, 6)) == [1, 3, 7, 9, 10]
+    assert sum(r["h1"] in (5, 6) for r in kept) == 1
+
+
 def test_repetition(docs):
     want = []
     for i, t in corpus():
