@@ -85,7 +85,8 @@ def possibly_repeated(rows: DataFrame, n_rows: int, filter_bytes: int) -> DataFr
 def _tester(rows: DataFrame, segments: int):
     """A UDF that looks hashes up in the filter of ``rows``."""
     bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for key, part in repeated_bits(rows, segments).toLocalIterator():
+    # The filter's own bytes, ``FILTER_BYTES`` at most, in one job: an iterator would run one for each partition.
+    for key, part in repeated_bits(rows, segments).collect():
         bits[key * SEGMENT_BITS // 8 : (key + 1) * SEGMENT_BITS // 8] = np.frombuffer(part, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
