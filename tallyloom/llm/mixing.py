@@ -94,7 +94,7 @@ def tree(spark, quotas: np.ndarray, shards: int, seed: int) -> DataFrame:
 
 def sized(rows: DataFrame) -> list[tuple[str | None, int]]:
     """Sources in code point order, null last, with their words. One row a source comes to the driver."""
-    sizes = [(r[0], int(r[1])) for r in rows.groupBy("source").agg(F.sum("size")).toLocalIterator()]
+    sizes = [(r[0], int(r[1])) for r in rows.groupBy("source").agg(F.sum("size")).collect()]
     return sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
 
 
@@ -118,7 +118,7 @@ def draws(rows: DataFrame, seed: int, weights=WEIGHTS, share=SHARE, most=MOST, b
     counts = ordered.groupBy("nth").agg(F.count(F.lit(1)).alias("blocks"), F.sum((F.col("before") < F.col("rest")).cast("long")).alias("reached"), F.max("passes").alias("passes"))
     quota = np.zeros(len(sizes), np.int64)
     number = {}
-    for r in counts.toLocalIterator():
+    for r in counts.collect():
         quota[r["nth"]], number[r["nth"]] = r["passes"] * r["blocks"] + r["reached"], r["blocks"]
     shards = max(1, math.ceil(sum(goal) / shard_words))
     dealt = tree(spark, quota, shards, seed).select("nth", "shard", F.explode(F.sequence("first", "last")).alias("j"))

@@ -71,7 +71,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("doc_id", "text").alias("k"))
     rows = settle_table(rows.withColumn("room", F.greatest("n_tokens", F.lit(1))))
     hist = rows.groupBy("room").agg(F.count(F.lit(1)).alias("n"))
-    cells = sorted((r["room"], r["n"], r["n"] * r["room"]) for r in hist.toLocalIterator())
+    cells = sorted((r["room"], r["n"], r["n"] * r["room"]) for r in hist.collect())
     if not cells:
         return rows.select("doc_id", "n_tokens", *[F.lit(0).cast("long").alias(c) for c in ("bucket", "bucket_len", "batch", "slot", "padding")])
     ends = boundaries(*(list(x) for x in zip(*cells)), buckets)
