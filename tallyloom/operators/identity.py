@@ -16,6 +16,11 @@ from .components import components
 VALUE = ["rel", "value"]
 
 
+def meet(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """A join by a shuffle. Guessed sizes do not see the rows that an explode or a list of pairs makes, and a table broadcast by such a guess is held by the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def degrees(pii: DataFrame, cutoff: int) -> DataFrame:
     """Per (rel, value): full degree and degree at the cutoff."""
     return pii.groupBy(*VALUE).agg(F.count(F.lit(1)).alias("full_degree"), F.count_if(known_before("seq", cutoff)).alias("cutoff_degree"))
@@ -46,7 +51,7 @@ def scoped(pii: DataFrame, cutoff: int, low: int, high: int, degree_scope: str)
     """PII edges known at the cutoff whose value is shared and no hub, with the degree that says so."""
     name = {"full": "full_degree", "cutoff": "cutoff_degree"}[degree_scope]
     d = degrees(pii, cutoff).select(*VALUE, F.col(name).alias("degree")).where((F.col("degree") > 1) & (F.col("degree") < high))
-    return pii.where(known_before("seq", cutoff)).join(d, VALUE)
+    return meet(pii.where(known_before("seq", cutoff)), d, VALUE)
 
 
 def match_parties(pii: DataFrame, cutoff: int, weights: dict[str, float], threshold: float = 1.0, low: int = 100, high: int = 25000, degree_scope: str = "full") -> DataFrame:
@@ -64,8 +69,8 @@ def match_parties(pii: DataFrame, cutoff: int, weights: dict[str, float], thresh
     own = small.select("a", "b", points.alias("p"))
     large = known.where(F.col("degree") >= low).select("party", *VALUE)
     candidates = small.select("a", "b").distinct()
-    left = candidates.join(large.withColumnRenamed("party", "a"), "a")
-    more = left.join(large.withColumnRenamed("party", "b"), ["b", *VALUE]).select("a", "b", points.alias("p"))
+    left = meet(candidates, large.withColumnRenamed("party", "a"), "a")
+    more = meet(left, large.withColumnRenamed("party", "b"), ["b", *VALUE]).select("a", "b", points.alias("p"))
     scored = own.unionByName(more).groupBy("a", "b").agg(F.round(F.sum("p"), 6).alias("score"))
     return scored.where(F.col("score") > threshold - 1e-6)
 
