@@ -83,10 +83,10 @@ def score_histogram(matches: DataFrame) -> DataFrame:
 def stamp_provenance(matches: DataFrame, pii: DataFrame, cutoff: int, high: int = 25000) -> DataFrame:
     """(a, b, score, resolved_at, evidence_span, n_shared): a value counts from the later of its two stamps; a match from its last value."""
     known = scoped(pii, cutoff, 0, high, "full").select("party", *VALUE, "seq")
-    left = matches.join(known.select(F.col("party").alias("a"), *VALUE, F.col("seq").alias("sa")), "a")
-    both = left.join(known.select(F.col("party").alias("b"), *VALUE, F.col("seq").alias("sb")), ["b", *VALUE]).withColumn("at", F.greatest("sa", "sb"))
+    left = meet(matches, known.select(F.col("party").alias("a"), *VALUE, F.col("seq").alias("sa")), "a")
+    both = meet(left, known.select(F.col("party").alias("b"), *VALUE, F.col("seq").alias("sb")), ["b", *VALUE]).withColumn("at", F.greatest("sa", "sb"))
     found = both.groupBy("a", "b").agg(F.max("at").alias("resolved_at"), (F.max("at") - F.min("at")).alias("evidence_span"), F.count(F.lit(1)).alias("n_shared"))
-    return matches.join(found, ["a", "b"], "left")
+    return meet(matches, found, ["a", "b"], "left")
 
 
 def unify(parties: DataFrame, stamped: DataFrame, cutoff: int) -> DataFrame:

@@ -22,3 +22,12 @@ def pii(spark):
 
 def test_match_parties_broadcasts_nothing(pii):
     assert "Broadcast" not in plan(identity.match_parties(pii, CUTOFF, domain.RELATIONS))
+
+
+@pytest.fixture(scope="module")
+def matches(pii):
+    return settle_table(identity.match_parties(pii, CUTOFF, domain.RELATIONS))
+
+
+def test_stamp_provenance_broadcasts_nothing(pii, matches):
+    assert "Broadcast" not in plan(identity.stamp_provenance(matches, pii, CUTOFF))
