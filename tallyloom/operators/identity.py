@@ -92,7 +92,7 @@ def stamp_provenance(matches: DataFrame, pii: DataFrame, cutoff: int, high: int
 def unify(parties: DataFrame, stamped: DataFrame, cutoff: int) -> DataFrame:
     """(party, re_id): components over matches resolved before the cutoff; a party without a match is its own entity."""
     roots = components(stamped.where(known_before("resolved_at", cutoff)).select("a", "b")).toDF("party", "root")
-    return parties.select("party").distinct().join(roots, "party", "left").select("party", F.coalesce("root", "party").alias("re_id"))
+    return meet(parties.select("party").distinct(), roots, "party", "left").select("party", F.coalesce("root", "party").alias("re_id"))
 
 
 def scoped_parties(pii: DataFrame, cutoff: int) -> DataFrame:

@@ -31,3 +31,8 @@ def matches(pii):
 
 def test_stamp_provenance_broadcasts_nothing(pii, matches):
     assert "Broadcast" not in plan(identity.stamp_provenance(matches, pii, CUTOFF))
+
+
+def test_unify_broadcasts_nothing(pii, matches):
+    stamped = identity.stamp_provenance(matches, pii, CUTOFF)
+    assert "Broadcast" not in plan(identity.unify(identity.scoped_parties(pii, CUTOFF), stamped, CUTOFF))
