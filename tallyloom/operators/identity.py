@@ -132,7 +132,7 @@ def entity_stats(entities: DataFrame, pii: DataFrame, party_card: DataFrame, int
 
 def stamp_keys(entities: DataFrame, owned: DataFrame, key: str, drop_conflicts: bool = False) -> DataFrame:
     """(key, re_id, conflict): the least entity of the owning parties; owners of different entities are a conflict."""
-    out = owned.join(entities, "party").groupBy(key).agg(F.min("re_id").alias("re_id"), (F.min("re_id") != F.max("re_id")).alias("conflict"))
+    out = meet(owned, entities, "party").groupBy(key).agg(F.min("re_id").alias("re_id"), (F.min("re_id") != F.max("re_id")).alias("conflict"))
     return out.withColumn("re_id", F.when(~F.col("conflict"), F.col("re_id"))) if drop_conflicts else out
 
 

@@ -36,3 +36,12 @@ def test_stamp_provenance_broadcasts_nothing(pii, matches):
 def test_unify_broadcasts_nothing(pii, matches):
     stamped = identity.stamp_provenance(matches, pii, CUTOFF)
     assert "Broadcast" not in plan(identity.unify(identity.scoped_parties(pii, CUTOFF), stamped, CUTOFF))
+
+
+@pytest.fixture(scope="module")
+def entities(pii, matches):
+    return settle_table(identity.unify(identity.scoped_parties(pii, CUTOFF), identity.stamp_provenance(matches, pii, CUTOFF), CUTOFF))
+
+
+def test_stamp_keys_broadcasts_nothing(spark, entities):
+    assert "Broadcast" not in plan(identity.stamp_keys(entities, domain.party_card(spark, SMALL), "card"))
