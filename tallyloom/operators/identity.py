@@ -110,7 +110,7 @@ def assert_entities(entities: DataFrame, max_members: int = 50, max_fraction: fl
 def worst_values(entities: DataFrame, pii: DataFrame, k: int = 20) -> DataFrame:
     """What holds the largest entity together: per relation its k values with most members (ties: smaller value)."""
     largest = entities.groupBy("re_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "re_id").limit(1)
-    counts = entities.join(F.broadcast(largest), "re_id").join(pii, "party").groupBy(*VALUE).agg(F.countDistinct("party").alias("members"))
+    counts = meet(entities.join(F.broadcast(largest), "re_id"), pii, "party").groupBy(*VALUE).agg(F.countDistinct("party").alias("members"))
     w = Window.partitionBy("rel").orderBy(F.desc("members"), "value")
     return counts.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
 

@@ -45,3 +45,7 @@ def entities(pii, matches):
 
 def test_stamp_keys_broadcasts_nothing(spark, entities):
     assert "Broadcast" not in plan(identity.stamp_keys(entities, domain.party_card(spark, SMALL), "card"))
+
+
+def test_worst_values_broadcasts_the_largest_entity_only(pii, entities):
+    assert plan(identity.worst_values(entities, pii)).count("BroadcastExchange") == 1
