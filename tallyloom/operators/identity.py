@@ -118,15 +118,15 @@ def worst_values(entities: DataFrame, pii: DataFrame, k: int = 20) -> DataFrame:
 def entity_stats(entities: DataFrame, pii: DataFrame, party_card: DataFrame, interactions: DataFrame, matches: DataFrame, cutoff: int) -> DataFrame:
     """Per entity: members, distinct PII values, connected cards and merchants, largest score among its own pairs."""
     members = entities.groupBy("re_id").agg(F.count(F.lit(1)).alias("member_count"))
-    values = entities.join(pii.where(known_before("seq", cutoff)), "party").groupBy("re_id").agg(F.countDistinct(*VALUE).alias("distinct_pii_count"))
-    cards = entities.join(party_card, "party").select("re_id", "card").distinct()
+    values = meet(entities, pii.where(known_before("seq", cutoff)), "party").groupBy("re_id").agg(F.countDistinct(*VALUE).alias("distinct_pii_count"))
+    cards = meet(entities, party_card, "party").select("re_id", "card").distinct()
     n_cards = cards.groupBy("re_id").agg(F.count(F.lit(1)).alias("connected_card_count"))
-    shops = cards.join(interactions.select("card", "merchant").distinct(), "card").groupBy("re_id").agg(F.countDistinct("merchant").alias("connected_merchant_count"))
+    shops = meet(cards, interactions.select("card", "merchant").distinct(), "card").groupBy("re_id").agg(F.countDistinct("merchant").alias("connected_merchant_count"))
     ea, eb = entities.toDF("a", "ra"), entities.toDF("b", "rb")
-    scores = matches.join(ea, "a").join(eb, "b").where("ra = rb").groupBy(F.col("ra").alias("re_id")).agg(F.max("score").alias("max_pair_score"))
+    scores = meet(meet(matches, ea, "a"), eb, "b").where("ra = rb").groupBy(F.col("ra").alias("re_id")).agg(F.max("score").alias("max_pair_score"))
     out = members
     for part in (values, n_cards, shops, scores):
-        out = out.join(part, "re_id", "left")
+        out = meet(out, part, "re_id", "left")
     return out.fillna(0, ["distinct_pii_count", "connected_card_count", "connected_merchant_count"])
 
 

@@ -49,3 +49,8 @@ def test_stamp_keys_broadcasts_nothing(spark, entities):
 
 def test_worst_values_broadcasts_the_largest_entity_only(pii, entities):
     assert plan(identity.worst_values(entities, pii)).count("BroadcastExchange") == 1
+
+
+def test_entity_stats_broadcasts_nothing(spark, pii, matches, entities):
+    stats = identity.entity_stats(entities, pii, domain.party_card(spark, SMALL), queries.interactions(spark, SMALL), matches, CUTOFF)
+    assert "Broadcast" not in plan(stats)
