@@ -54,3 +54,16 @@ def test_worst_values_broadcasts_the_largest_entity_only(pii, entities):
 def test_entity_stats_broadcasts_nothing(spark, pii, matches, entities):
     stats = identity.entity_stats(entities, pii, domain.party_card(spark, SMALL), queries.interactions(spark, SMALL), matches, CUTOFF)
     assert "Broadcast" not in plan(stats)
+
+
+def plans_of(spark, monkeypatch, name):
+    """The plans of every table that a query settles, and of its result."""
+    seen = []
+    monkeypatch.setattr(queries, "settle_table", lambda df: seen.append(plan(df)) or settle_table(df))
+    last = plan(queries.QUERIES[name](spark, SMALL))
+    return [*seen, last]
+
+
+@pytest.mark.parametrize("name", ["i6_assert_entities"])
+def test_queries_broadcast_nothing(spark, monkeypatch, name):
+    assert not [p for p in plans_of(spark, monkeypatch, name) if "Broadcast" in p]
