@@ -64,6 +64,6 @@ def plans_of(spark, monkeypatch, name):
     return [*seen, last]
 
 
-@pytest.mark.parametrize("name", ["i6_assert_entities", "i1_reset_dry_run"])
+@pytest.mark.parametrize("name", ["i6_assert_entities", "i1_reset_dry_run", "s8_entity_features"])
 def test_queries_broadcast_nothing(spark, monkeypatch, name):
     assert not [p for p in plans_of(spark, monkeypatch, name) if "Broadcast" in p]
