@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components, settle_state
+from .components import components, meet, settle_state
 
 #: Merchants' vertex ids start here.
 MERCHANT_BASE = 1_000_000_000
@@ -36,8 +36,9 @@ def project(interactions: DataFrame, over: str, min_edge_weight: int = 1, max_de
     one = "card" if over == "merchant" else "merchant"
     degree = interactions.groupBy(over).agg(F.count(F.lit(1)).alias("__d"))
     kept = interactions.where(F.col("txn_count") >= min_txn_count).join(degree.where(F.col("__d") <= max_degree), over).select(over, F.col(one).alias("v"))
-    # Pairs are formed inside the sorted list of each group, so the group is shuffled once, not twice.
-    groups = kept.groupBy(over).agg(F.array_sort(F.collect_set("v")).alias("vs")).where(F.size("vs") > 1)
+    # Pairs are formed inside the sorted list of each group, so the group is shuffled once, not twice. The partitions
+    # have a fixed number: joined by the few bytes they hold, one task would form all pairs.
+    groups = kept.repartition(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), over).groupBy(over).agg(F.array_sort(F.collect_set("v")).alias("vs")).where(F.size("vs") > 1)
     left = groups.select("vs", F.posexplode("vs").alias("i", "a"))
     pairs = left.select("a", F.explode(F.slice("vs", F.col("i") + 2, F.size("vs"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_edge_weight)
@@ -84,7 +85,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_change: float = 0.001,
     """
     links = both_ways(edges)
     out = links.groupBy("v").agg(F.sum("weight").alias("total"))
-    pull = settle_state(links.join(out.withColumnRenamed("v", "u"), "u").select("v", "u", (F.col("weight") / F.col("total")).alias("share")))
+    pull = settle_state(meet(links, out.withColumnRenamed("v", "u"), "u").select("v", "u", (F.col("weight") / F.col("total")).alias("share")))
     score = settle_state(out.select("v", F.lit(1.0).alias("s")))
     for _ in range(max_iteration):
         got = pull.join(score.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.sum(F.col("share") * F.col("s")).alias("sum"))

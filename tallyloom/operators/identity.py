@@ -11,16 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import known_before
-from .components import components
+from .components import components, meet
 
 VALUE = ["rel", "value"]
 
 
-def meet(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
-    """A join by a shuffle. Guessed sizes do not see the rows that an explode or a list of pairs makes, and a table broadcast by such a guess is held by the driver."""
-    return left.join(right.hint("merge"), on, how)
-
-
 def degrees(pii: DataFrame, cutoff: int) -> DataFrame:
     """Per (rel, value): full degree and degree at the cutoff."""
     return pii.groupBy(*VALUE).agg(F.count(F.lit(1)).alias("full_degree"), F.count_if(known_before("seq", cutoff)).alias("cutoff_degree"))

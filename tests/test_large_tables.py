@@ -4,8 +4,8 @@ import pytest
 from conftest import SMALL
 
 from tallyloom import queries
-from tallyloom.operators import identity
-from tallyloom.operators.components import settle_table
+from tallyloom.operators import graph, identity
+from tallyloom.operators.components import settle_state, settle_table
 from tallyloom.sources import domain
 
 CUTOFF = queries.CLOCK_CUTOFF
@@ -67,3 +67,15 @@ def plans_of(spark, monkeypatch, name):
 @pytest.mark.parametrize("name", ["i6_assert_entities", "i1_reset_dry_run", "s8_entity_features"])
 def test_queries_broadcast_nothing(spark, monkeypatch, name):
     assert not [p for p in plans_of(spark, monkeypatch, name) if "Broadcast" in p]
+
+
+def test_projected_links_are_not_broadcast(spark, monkeypatch):
+    edges = settle_table(graph.project(queries.interactions(spark, SMALL), "merchant"))
+    seen = []
+    monkeypatch.setattr(graph, "settle_state", lambda df: seen.append(plan(df)) or settle_state(df))
+    graph.pagerank(edges, max_iteration=1)
+    assert "Broadcast" not in seen[0]
+
+
+def test_pairs_are_formed_in_more_than_one_task(spark):
+    assert "REPARTITION_BY_NUM" in plan(graph.project(queries.interactions(spark, SMALL), "merchant"))
