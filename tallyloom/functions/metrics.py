@@ -69,43 +69,111 @@ def confusion(scored: DataFrame, threshold: float) -> DataFrame:
     return c.select("*", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-def _poisson(key: str, rounds: int, seed: int):
-    """Poisson(1) weights of a row for each bootstrap round, from a hash of its key: reruns and both arms agree."""
-    # Cumulative probabilities of 0, 1, 2, ... times 2^31.
+#: Rows whose weights are drawn at once: a few arrays of them fit a core's cache.
+DRAW_ROWS = 16_384
+#: Rows whose weights are summed by score before they leave a task.
+SUM_ROWS = 400_000
+
+
+def _mixed(h: np.ndarray, number: int) -> np.ndarray:
+    """Spark's xxhash64 of an int, seeded by the hashes ``h`` of the columns before it."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = h + (p5 + np.uint64(4))
+    h ^= np.uint64((number & 0xFFFFFFFF) * int(p1) & 0xFFFFFFFFFFFFFFFF)
+    high = h >> np.uint64(41)
+    h <<= np.uint64(23)
+    h |= high
+    h *= p2
+    h += p3
+    h ^= h >> np.uint64(33)
+    h *= p2
+    h ^= h >> np.uint64(29)
+    h *= p3
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _poisson_steps() -> list[int]:
+    """Cumulative probabilities of 0, 1, 2, ... under Poisson(1), times 2^31."""
     steps, p, total = [], float(np.exp(-1)), 0.0
     for i in range(1, 10):
         total += p
         steps.append(int(total * 2**31))
         p /= i
-    weight = lambda i: F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda n, s: n + (F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(2**31)) >= s).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), weight)
-
-
-def bootstrap_groups(scored: DataFrame, key: str, score: str, rounds: int, seed: int) -> DataFrame:
-    """(round, score, pos, n) under Poisson weights; resampling never needs the rows in one place."""
-    rows = scored.select("y", F.col(score).alias("score"), F.posexplode(_poisson(key, rounds, seed)).alias("round", "w")).where("w > 0")
-    return rows.groupBy("round", "score").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum("w").alias("n"))
+    return steps
+
+
+def _weights(hashes: np.ndarray, number: int, seed: int) -> np.ndarray:
+    """Poisson(1) weights of one bootstrap round from hashes of the rows' keys: reruns and both arms agree."""
+    out = np.zeros(hashes.size, np.uint8)
+    for at in range(0, hashes.size, DRAW_ROWS):
+        u = (_mixed(_mixed(hashes[at : at + DRAW_ROWS], number), seed) & np.uint64(2**31 - 1)).astype(np.uint32)
+        w = out[at : at + DRAW_ROWS]
+        for step in _poisson_steps():
+            w += u >= np.uint32(step)
+    return out
+
+
+def _sums(rounds: int, seed: int):
+    import pyarrow as pa
+
+    def of(columns):
+        hashes, y = columns[0].to_numpy().view(np.uint64), columns[1].fill_null(0).to_numpy().astype(np.float64)
+        groups = []
+        for column in columns[2:]:
+            codes = column.dictionary_encode(null_encoding="encode").combine_chunks()
+            codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
+            groups.append((codes.dictionary, codes.indices.to_numpy()))
+        for number in range(rounds):
+            w = _weights(hashes, number, seed).astype(np.float64)
+            for arm, (values, at) in enumerate(groups):
+                n, pos = (np.bincount(at, x, len(values)).astype(np.int64) for x in (w, w * y))
+                kept = np.flatnonzero(n)
+                yield pa.record_batch([pa.array(np.full(kept.size, arm, np.int32)), pa.array(np.full(kept.size, number, np.int32)), values.take(pa.array(kept)), pa.array(pos[kept]), pa.array(n[kept])], names=["arm", "round", "score", "pos", "n"])
+
+    def sums(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= SUM_ROWS:
+                yield from of(pa.Table.from_batches(held).combine_chunks().columns)
+                held, size = [], 0
+        if size:
+            yield from of(pa.Table.from_batches(held).combine_chunks().columns)
+
+    return sums
+
+
+def bootstrap_groups(scored: DataFrame, key: str, scores: list[str], rounds: int, seed: int) -> DataFrame:
+    """(arm, round, score, pos, n) under Poisson weights, arms by position in ``scores``; resampling never needs the rows in one place.
+
+    A row's weights are drawn once for all arms, and summed by score inside the task before they are shuffled.
+    """
+    rows = scored.select(F.xxhash64(key).alias("h"), F.col("y").cast("int").alias("y"), *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(scores)])
+    sums = rows.mapInArrow(_sums(rounds, seed), "arm int, round int, score double, pos long, n long")
+    return sums.groupBy("arm", "round", "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
 
 
 def _ap(groups: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.partitionBy("round").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = groups.select("round", "pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("all"))
-    return steps.groupBy("round").agg((F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos")).alias("ap"))
+    w = Window.partitionBy("arm", "round").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = groups.select("arm", "round", "pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("all"))
+    return steps.groupBy("arm", "round").agg((F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos")).alias("ap"))
 
 
 def bootstrap_interval(scored: DataFrame, key: str, rounds: int = 100, seed: int = 7, level: float = 0.95) -> DataFrame:
     """One row: percentile interval of the average precision."""
-    ap, a = _ap(bootstrap_groups(scored, key, "score", rounds, seed)), (1 - level) / 2
+    ap, a = _ap(bootstrap_groups(scored, key, ["score"], rounds, seed)), (1 - level) / 2
     return ap.agg(F.round(F.percentile("ap", F.lit(a)), 6).alias("low"), F.round(F.percentile("ap", F.lit(1 - a)), 6).alias("high"))
 
 
 def paired_bootstrap(scored: DataFrame, key: str, left: str, right: str, rounds: int = 100, seed: int = 7) -> DataFrame:
     """One row: mean and interval of ap(right) - ap(left) under the same weights, and the share of rounds where right wins."""
-    a = _ap(bootstrap_groups(scored, key, left, rounds, seed)).withColumnRenamed("ap", "l")
-    b = _ap(bootstrap_groups(scored, key, right, rounds, seed)).withColumnRenamed("ap", "r")
-    d = a.join(b, "round").select((F.col("r") - F.col("l")).alias("d"))
+    ap = _ap(bootstrap_groups(scored, key, [left, right], rounds, seed))
+    of = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("ap")))
+    d = ap.groupBy("round").agg((of(1) - of(0)).alias("d"))
     return d.agg(F.round(F.avg("d"), 6).alias("difference"), F.round(F.percentile("d", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("d", F.lit(0.975)), 6).alias("high"), F.round(F.avg((F.col("d") > 0).cast("int")), 6).alias("p_better"))
 
 

@@ -2,8 +2,10 @@
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from tallyloom import queries
+from tallyloom.functions import metrics
 from tallyloom.operators import graph, identity
 from tallyloom.operators.components import settle_state, settle_table
 from tallyloom.sources import domain
@@ -79,3 +81,23 @@ def test_projected_links_are_not_broadcast(spark, monkeypatch):
 
 def test_pairs_are_formed_in_more_than_one_task(spark):
     assert "REPARTITION_BY_NUM" in plan(graph.project(queries.interactions(spark, SMALL), "merchant"))
+
+
+def test_both_arms_share_one_draw(spark):
+    rows = spark.range(50).selectExpr("id", "cast(id % 2 AS int) AS y", "cast(id AS double) AS good", "cast(-id AS double) AS bad")
+    assert plan(metrics.paired_bootstrap(rows, "id", "bad", "good", 10)).count("Range (") == 1
+
+
+def test_weights_are_those_of_spark_hashes(spark):
+    """Sums by score, null scores and labels too, against hashes and thresholds computed row by row."""
+    rows = spark.range(300).selectExpr("id", "IF(id % 7 = 0, NULL, cast(id % 2 AS int)) AS y", "IF(id % 5 = 0, NULL, cast(id % 11 AS double)) AS s")
+    want = {}
+    for r in rows.select("y", "s", *[F.xxhash64("id", F.lit(i), F.lit(7)).alias(f"h{i}") for i in range(4)]).collect():
+        for i in range(4):
+            w = sum(r[f"h{i}"] % 2**31 >= step for step in metrics._poisson_steps())
+            if w:
+                pos, n = want.get((i, r.s), (0, 0))
+                want[i, r.s] = pos + w * (r.y or 0), n + w
+    got = metrics.bootstrap_groups(rows, "id", ["s", "s"], 4, 7).collect()
+    for arm in (0, 1):
+        assert {(r["round"], r.score): (r.pos, r.n) for r in got if r.arm == arm} == want
