@@ -113,10 +113,19 @@ def score(weights: np.ndarray, column: pa.Array, threshold: float = THRESHOLD) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> np.ndarray:
-    got = labelled(docs, labels, "toxic", 10, FOLDS, HELD_OUT, bound).toPandas()
-    if not len(got):
-        return np.append(np.zeros(SLOTS), PRIOR)
-    return train(pa.array(got["text"], pa.string()), got["label"].to_numpy())
+    """Weights learned in one task, so that the driver holds neither the texts nor their features."""
+
+    def run(batches):
+        rows = pa.Table.from_batches(batches, schema)
+        if rows.num_rows:
+            rows = rows.sort_by("doc_id").combine_chunks()
+            weights = train(rows["text"].combine_chunks().cast(pa.string()), rows["label"].to_numpy())
+            yield pa.record_batch([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
+
+    rows = labelled(docs, labels, "toxic", 10, FOLDS, HELD_OUT, bound).selectExpr("doc_id", "text", "cast(label AS double) AS label")
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("label", pa.float64())])
+    got = rows.coalesce(1).mapInArrow(run, "weights binary").collect()
+    return np.frombuffer(bytes(got[0][0])) if got else np.append(np.zeros(SLOTS), PRIOR)
 
 
 def toxicity_scores(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:

@@ -3,9 +3,13 @@
 import re
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from tallyloom.llm import toxicity
+
 
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
@@ -40,3 +44,16 @@ def test_stages_take_odd_tables(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_toxicity_learns_outside_the_driver(spark, monkeypatch):
+    """No labelled text comes to the driver; the weights are those of training on the texts in order of doc_id."""
+    from tallyloom.llm import _linear
+
+    docs, labels = (spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("documents", "labels"))
+    got = _linear.labelled(docs, labels, "toxic", 10, toxicity.FOLDS, toxicity.HELD_OUT, 60).collect()
+    want = toxicity.train(pa.array([r.text for r in got], pa.string()), np.array([r.label for r in got]))
+    monkeypatch.setattr(type(docs), "toPandas", None)
+    assert len(got) > 10
+    assert (toxicity.fit(docs, labels, 60) == want).all()
+    assert (toxicity.fit(docs, labels.where("false"))[:-1] == 0).all()
