@@ -84,7 +84,8 @@ def components(edges: DataFrame, last_edges: int = LAST_EDGES) -> DataFrame:
     Each round every node joins its least neighbour, the trees so formed are flattened by
     pointer jumping, and edges between the same pair of trees merge into one; the number of
     nodes halves at least. Only key-value tables are shuffled, aggregated before the shuffle;
-    joins stand directly on exchanges, so skewed partitions can be split.
+    joins stand directly on exchanges, so skewed partitions can be split. No table of nodes is
+    broadcast: its compressed files are far smaller than the hash table the driver would hold.
     """
     live = settle_state(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     total = None
@@ -93,7 +94,7 @@ def components(edges: DataFrame, last_edges: int = LAST_EDGES) -> DataFrame:
         near = settle_state(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
         near = flatten(near)
         x, y = near.toDF("a", "ra"), near.toDF("b", "rb")
-        merged = live.join(x, "a").join(y, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+        merged = meet(meet(live, x, "a"), y, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
         live = settle_state(merged.distinct())
         total = near if total is None else follow(total, near)
     last = live.coalesce(1).mapInArrow(_finish, "node long, root long")
@@ -103,14 +104,14 @@ def components(edges: DataFrame, last_edges: int = LAST_EDGES) -> DataFrame:
 def follow(first: DataFrame, then: DataFrame) -> DataFrame:
     """Roots of ``first`` replaced by their roots in ``then``."""
     then = then.toDF("root", "top")
-    return settle_state(first.join(then, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    return settle_state(meet(first, then, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def flatten(near: DataFrame) -> DataFrame:
     """Point every node to the top of its tree; doubles the reach of each pointer per round."""
     while True:
         top = near.toDF("root", "top")
-        jumped = settle_state(near.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.coalesce(F.col("top") != F.col("root"), F.lit(False)).alias("moved")))
+        jumped = settle_state(meet(near, top, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.coalesce(F.col("top") != F.col("root"), F.lit(False)).alias("moved")))
         near = jumped.select("node", "root")
         if not jumped.where("moved").limit(1).count():
             return near

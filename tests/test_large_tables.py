@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom import queries
 from tallyloom.functions import metrics
-from tallyloom.operators import graph, identity
+from tallyloom.operators import components, graph, identity
 from tallyloom.operators.components import settle_state, settle_table
 from tallyloom.sources import domain
 
@@ -71,6 +71,28 @@ def test_queries_broadcast_nothing(spark, monkeypatch, name):
     assert not [p for p in plans_of(spark, monkeypatch, name) if "Broadcast" in p]
 
 
+def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
+    """Nodes of contracted graphs grow with the input, too; small tables never come to such a round by themselves."""
+    seen = []
+    monkeypatch.setattr(components, "settle_state", lambda df: seen.append(plan(df)) or settle_state(df))
+    edges = spark.range(40).selectExpr("id AS a", "id + 1 AS b").where("a % 20 <> 19")
+    roots = components.components(edges, 0)
+    assert {r["root"] for r in roots.collect()} == {0, 20}
+    assert sum("Join" in p for p in seen) > 2
+    assert not [p for p in [*seen, plan(roots)] if "Broadcast" in p]
+
+
+@pytest.mark.parametrize("name", ["i1_reset_dry_run"])
+def test_queries_broadcast_nothing_in_rounds_of_components(spark, monkeypatch, name):
+    """Over sf0.01, the least tables in which parties match."""
+    seen = []
+    monkeypatch.setattr(components.components, "__defaults__", (0,))
+    monkeypatch.setattr(components, "settle_state", lambda df: seen.append(plan(df)) or settle_state(df))
+    queries.QUERIES[name](spark, SMALL.replace("sf0.001", "sf0.01"))
+    assert sum("Join" in p for p in seen) > 2
+    assert not [p for p in seen if "Broadcast" in p]
+
+
 def test_projected_links_are_not_broadcast(spark, monkeypatch):
     edges = settle_table(graph.project(queries.interactions(spark, SMALL), "merchant"))
     seen = []
