@@ -82,7 +82,7 @@ def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
     assert not [p for p in [*seen, plan(roots)] if "Broadcast" in p]
 
 
-@pytest.mark.parametrize("name", ["i1_reset_dry_run", "i6_assert_entities"])
+@pytest.mark.parametrize("name", ["i1_reset_dry_run", "i6_assert_entities", "s8_entity_features"])
 def test_queries_broadcast_nothing_in_rounds_of_components(spark, monkeypatch, name):
     """Over sf0.01, the least tables in which parties match."""
     seen = []
