@@ -44,10 +44,12 @@ def settle_state(df: DataFrame, *parts: str) -> DataFrame:
 
     A checkpoint keeps the size estimate of its plan, and estimates of joins multiply: in a
     loop they soon have millions of digits. A written table has its true size. ``parts`` are
-    columns whose values get folders of their own, without a shuffle.
+    columns whose values get folders of their own, without a shuffle. No file marks the end of the
+    write: nothing looks for it, and on a local disk Hadoop starts two processes of the driver to make it.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, "state")
-    (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
+    write = df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    (write.partitionBy(*parts) if parts else write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -98,7 +100,7 @@ def components(edges: DataFrame, last_edges: int = LAST_EDGES) -> DataFrame:
         live = settle_state(merged.distinct())
         total = near if total is None else follow(total, near)
     last = live.coalesce(1).mapInArrow(_finish, "node long, root long")
-    return last if total is None else follow(total, settle_state(last))
+    return last if total is None else follow(total, last)
 
 
 def follow(first: DataFrame, then: DataFrame) -> DataFrame:

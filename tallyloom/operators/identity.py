@@ -7,7 +7,7 @@ value is a hub; ``degree_scope="cutoff"`` counts what is known at the cutoff onl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import known_before
@@ -49,10 +49,9 @@ def scoped(pii: DataFrame, cutoff: int, low: int, high: int, degree_scope: str)
     return meet(pii.where(known_before("seq", cutoff)), d, VALUE)
 
 
-def match_parties(pii: DataFrame, cutoff: int, weights: dict[str, float], threshold: float = 1.0, low: int = 100, high: int = 25000, degree_scope: str = "full") -> DataFrame:
-    """(a, b, score): pairs that share a value below ``low``, scored over all their shared values below ``high``.
+def shared_values(pii: DataFrame, cutoff: int, weights: dict[str, float], low: int, high: int, degree_scope: str, stamps: bool) -> DataFrame:
+    """(a, b, p) for each value below ``high`` that a pair shares, of pairs that share one below ``low``; with ``stamps`` also ``at``, the later of its two stamps.
 
-    The score adds the relation's weight for each shared value; pairs over threshold - 1e-6 stay.
     Blocking comes first: pairs are formed on selective values only. Values between the caps
     then count for these pairs through two joins, so no hub's list is ever paired.
     """
@@ -60,14 +59,31 @@ def match_parties(pii: DataFrame, cutoff: int, weights: dict[str, float], thresh
     points = F.lit(None).cast("double")
     for rel, w in weights.items():
         points = F.when(F.col("rel") == rel, F.lit(float(w))).otherwise(points)
-    small = shared_pairs(known.where(F.col("degree") < low), []).select(*VALUE, F.col("x.party").alias("a"), F.col("y.party").alias("b")).where("a < b")
-    own = small.select("a", "b", points.alias("p"))
-    large = known.where(F.col("degree") >= low).select("party", *VALUE)
+    seq = ["seq"] * stamps
+    later = lambda one, other: [F.greatest(one, other).alias("at")] * stamps
+    small = shared_pairs(known.where(F.col("degree") < low), seq).select(*VALUE, F.col("x.party").alias("a"), F.col("y.party").alias("b"), *later("x.seq", "y.seq")).where("a < b")
+    own = small.select("a", "b", points.alias("p"), *["at"] * stamps)
+    large = known.where(F.col("degree") >= low).select("party", *VALUE, *seq)
     candidates = small.select("a", "b").distinct()
-    left = meet(candidates, large.withColumnRenamed("party", "a"), "a")
-    more = meet(left, large.withColumnRenamed("party", "b"), ["b", *VALUE]).select("a", "b", points.alias("p"))
-    scored = own.unionByName(more).groupBy("a", "b").agg(F.round(F.sum("p"), 6).alias("score"))
-    return scored.where(F.col("score") > threshold - 1e-6)
+    left = meet(candidates, large.withColumnsRenamed({"party": "a", "seq": "sa"}), "a")
+    more = meet(left, large.withColumnsRenamed({"party": "b", "seq": "sb"}), ["b", *VALUE]).select("a", "b", points.alias("p"), *later("sa", "sb"))
+    return own.unionByName(more)
+
+
+def match_parties(pii: DataFrame, cutoff: int, weights: dict[str, float], threshold: float = 1.0, low: int = 100, high: int = 25000, degree_scope: str = "full") -> DataFrame:
+    """(a, b, score): pairs that share a value below ``low``, scored over all their shared values below ``high``.
+
+    The score adds the relation's weight for each shared value; pairs over threshold - 1e-6 stay.
+    """
+    shared = shared_values(pii, cutoff, weights, low, high, degree_scope, False)
+    return shared.groupBy("a", "b").agg(F.round(F.sum("p"), 6).alias("score")).where(F.col("score") > threshold - 1e-6)
+
+
+def match_stamped(pii: DataFrame, cutoff: int, weights: dict[str, float], threshold: float = 1.0, low: int = 100, high: int = 25000) -> DataFrame:
+    """The matches of ``match_parties`` by full degrees with the columns of ``stamp_provenance``: each shared value is met once, and both are sums over the same values."""
+    shared = shared_values(pii, cutoff, weights, low, high, "full", True)
+    found = shared.groupBy("a", "b").agg(F.round(F.sum("p"), 6).alias("score"), *provenance())
+    return found.where(F.col("score") > threshold - 1e-6)
 
 
 def score_histogram(matches: DataFrame) -> DataFrame:
@@ -75,12 +91,17 @@ def score_histogram(matches: DataFrame) -> DataFrame:
     return matches.groupBy(F.floor(F.round(F.col("score") * 10, 4)).cast("int").alias("tenth")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
+def provenance() -> list[Column]:
+    """Of a match, from ``at`` of its shared values: when the last of them came, how long after the first, how many there are."""
+    return [F.max("at").alias("resolved_at"), (F.max("at") - F.min("at")).alias("evidence_span"), F.count(F.lit(1)).alias("n_shared")]
+
+
 def stamp_provenance(matches: DataFrame, pii: DataFrame, cutoff: int, high: int = 25000) -> DataFrame:
     """(a, b, score, resolved_at, evidence_span, n_shared): a value counts from the later of its two stamps; a match from its last value."""
     known = scoped(pii, cutoff, 0, high, "full").select("party", *VALUE, "seq")
     left = meet(matches, known.select(F.col("party").alias("a"), *VALUE, F.col("seq").alias("sa")), "a")
     both = meet(left, known.select(F.col("party").alias("b"), *VALUE, F.col("seq").alias("sb")), ["b", *VALUE]).withColumn("at", F.greatest("sa", "sb"))
-    found = both.groupBy("a", "b").agg(F.max("at").alias("resolved_at"), (F.max("at") - F.min("at")).alias("evidence_span"), F.count(F.lit(1)).alias("n_shared"))
+    found = both.groupBy("a", "b").agg(*provenance())
     return meet(matches, found, ["a", "b"], "left")
 
 

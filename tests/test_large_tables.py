@@ -1,5 +1,7 @@
 """Joins whose sizes cannot be guessed before they run: none may broadcast a table that grows with the input."""
 
+import os
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -93,6 +95,39 @@ def test_queries_broadcast_nothing_in_rounds_of_components(spark, monkeypatch, n
     assert not [p for p in seen if "Broadcast" in p]
 
 
+@pytest.mark.parametrize("name", ["i6_assert_entities"])
+def test_queries_meet_shared_values_once(spark, monkeypatch, name):
+    """Matches are stamped as they are found; they once met all their values again, in plans as large as those that found them."""
+    seen = []
+    monkeypatch.setattr(components, "settle_state", lambda df: seen.append(plan(df)) or settle_state(df))
+    queries.QUERIES[name](spark, SMALL)
+    assert seen
+    assert "Join" not in seen[0]
+
+
+def test_matches_are_stamped_as_they_are_found(spark):
+    pii = settle_table(domain.party_pii(spark, SMALL.replace("sf0.001", "sf0.01")))
+    # Values that a party has twice, at two times, count twice.
+    pii = settle_table(pii.unionByName(pii.where("party % 3 = 0").withColumn("seq", F.col("seq") + 5)))
+    for low in (100, 12):
+        matches = identity.match_parties(pii, CUTOFF, domain.RELATIONS, low=low)
+        want = sorted(identity.stamp_provenance(matches, pii, CUTOFF).collect())
+        assert len(want) > 20
+        assert sorted(identity.match_stamped(pii, CUTOFF, domain.RELATIONS, low=low).collect()) == want
+
+
+def test_rounds_of_components_write_few_tables(spark, monkeypatch):
+    """Stars: the links, each node's least neighbour, one jump, no links left, the roots; nothing that marks the end of a write."""
+    seen = []
+    monkeypatch.setattr(components, "settle_state", lambda df: seen.append(settle_state(df)) or seen[-1])
+    roots = components.components(spark.range(40).selectExpr("id % 8 AS a", "id + 8 AS b"), 0)
+    assert {(r["node"], r["root"]) for r in roots.collect()} == {(i, i % 8) for i in range(48)}
+    assert len(seen) == 5
+    folders = {f.removeprefix("file://").rpartition("/")[0] for df in seen for f in df.inputFiles()}
+    assert folders
+    assert not [f for folder in folders for f in os.listdir(folder) if "_SUCCESS" in f]
+
+
 def test_projected_links_are_not_broadcast(spark, monkeypatch):
     edges = settle_table(graph.project(queries.interactions(spark, SMALL), "merchant"))
     seen = []
