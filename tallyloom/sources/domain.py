@@ -77,10 +77,19 @@ fact0 AS (
 )"""
 
 
+def event_merchant() -> Column:
+    return F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+
+
+def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(card, merchant) of every event, for what needs neither order nor splits: rows are not numbered, so not sorted and stored."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("card"), event_merchant().alias("merchant"))
+
+
 def events_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     rows = dense_sequence(events, ["ts", "event_id"])
-    merchant = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    merchant = event_merchant()
     fact = rows.select(
         F.col("event_id").alias("transaction_id"), "event_seq", epoch_seconds("ts").alias("unix_time"), F.col("user_id").alias("card"), merchant.alias("merchant"), (merchant % 7).alias("category"),
         F.col("value").alias("amount"), (F.col("event_type") == "error").cast("int").alias("is_fraud"), F.col("event_type").alias("use_chip"),

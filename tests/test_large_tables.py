@@ -95,7 +95,7 @@ def test_queries_broadcast_nothing_in_rounds_of_components(spark, monkeypatch, n
     assert not [p for p in seen if "Broadcast" in p]
 
 
-@pytest.mark.parametrize("name", ["i6_assert_entities"])
+@pytest.mark.parametrize("name", ["i6_assert_entities", "s8_entity_features"])
 def test_queries_meet_shared_values_once(spark, monkeypatch, name):
     """Matches are stamped as they are found; they once met all their values again, in plans as large as those that found them."""
     seen = []
@@ -105,6 +105,19 @@ def test_queries_meet_shared_values_once(spark, monkeypatch, name):
     assert "Join" not in seen[0]
 
 
+def test_entity_features_number_no_events(spark, monkeypatch):
+    """The merchants of a card need no order; numbering stores all events and asks the driver for counts."""
+    monkeypatch.setattr(domain, "dense_sequence", lambda *_: pytest.fail("numbered"))
+    assert queries.QUERIES["s8_entity_features"](spark, SMALL).count()
+
+
+def test_event_pairs_are_those_of_the_fact(spark):
+    want = domain.events_fact(spark, SMALL).select("card", "merchant")
+    got = domain.event_pairs(spark, SMALL)
+    assert got.schema == want.schema
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_matches_are_stamped_as_they_are_found(spark):
     pii = settle_table(domain.party_pii(spark, SMALL.replace("sf0.001", "sf0.01")))
     # Values that a party has twice, at two times, count twice.
