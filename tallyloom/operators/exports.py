@@ -52,16 +52,14 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("rows_returned"), F.count_if(F.col("home_distance_km") < 0).alias("pairs_missing_geography"))
 
 
-def embedding_features(vectors: DataFrame, edges: DataFrame, features: DataFrame, build_id: str) -> DataFrame:
+def embedding_features(vectors: DataFrame, near: DataFrame, build_id: str) -> DataFrame:
     """(v, build_id, fastrp, nbr_*): each vertex's embedding, and mean and max over its neighbours of ``NEIGHBOUR``.
 
-    ``features`` is (v, pagerank, c_size, txn_count); ``edges`` is (a, b). Vertices without a
-    neighbour have nulls.
+    ``near`` is (v, degree, sum_*, top_*) of the neighbours. Vertices without one have nulls.
     """
-    both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    seen = both.join(features.withColumnRenamed("v", "u"), "u").groupBy("v")
-    near = seen.agg(*[x for c in NEIGHBOUR for x in (F.round(F.avg(c), 6).alias(f"nbr_{c}_mean"), F.round(F.max(c).cast("double"), 6).alias(f"nbr_{c}_max"))])
-    return vectors.select("v", F.lit(build_id).alias("build_id"), F.col("embedding").alias("fastrp")).join(near, "v", "left")
+    means = {c: (F.round(F.col(f"sum_{c}") / F.col("degree"), 6).alias(f"nbr_{c}_mean"), F.round(f"top_{c}", 6).alias(f"nbr_{c}_max")) for c in NEIGHBOUR}
+    near = near.select("v", *[x for c in NEIGHBOUR for x in means[c]])
+    return vectors.select("v", F.lit(build_id).alias("build_id"), F.col("embedding").alias("fastrp")).join(near.hint("merge"), "v", "left")
 
 
 def write_counted(rows: DataFrame, path: str, expected: int) -> DataFrame:

@@ -26,16 +26,19 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("v"), F.col("b").alias("u"), "weight").unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u"), "weight"))
 
 
-def project(interactions: DataFrame, over: str, min_edge_weight: int = 1, max_degree: int = 5000, min_txn_count: int = 1) -> DataFrame:
+def project(interactions: DataFrame, over: str, min_edge_weight: int = 1, max_degree: int | None = None, min_txn_count: int = 1) -> DataFrame:
     """Co-occurrence: pairs a < b that share at least ``min_edge_weight`` of ``over`` (weight: how many).
 
-    Hubs with a degree over ``max_degree`` are left out, as their pairs grow with the square
-    of the degree; ``density_check`` gives the cost beforehand. The degree counts all
-    interactions of the build, weak ones too.
+    All pairs are formed unless ``max_degree`` is given: then hubs with a degree over it are left
+    out. Pairs grow with the square of the degree; ``density_check`` gives the cost beforehand.
+    The degree counts all interactions of the build, weak ones too.
     """
     one = "card" if over == "merchant" else "merchant"
-    degree = interactions.groupBy(over).agg(F.count(F.lit(1)).alias("__d"))
-    kept = interactions.where(F.col("txn_count") >= min_txn_count).join(degree.where(F.col("__d") <= max_degree), over).select(over, F.col(one).alias("v"))
+    kept = interactions.where((F.col("txn_count") >= min_txn_count) & F.col(over).isNotNull())
+    if max_degree is not None:
+        degree = interactions.groupBy(over).agg(F.count(F.lit(1)).alias("__d"))
+        kept = kept.join(degree.where(F.col("__d") <= max_degree), over)
+    kept = kept.select(over, F.col(one).alias("v"))
     # Pairs are formed inside the sorted list of each group, so the group is shuffled once, not twice. The partitions
     # have a fixed number: joined by the few bytes they hold, one task would form all pairs.
     groups = kept.repartition(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), over).groupBy(over).agg(F.array_sort(F.collect_set("v")).alias("vs")).where(F.size("vs") > 1)
